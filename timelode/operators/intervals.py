@@ -8,31 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from timelode.operators.scan import running_max
+
 #: Width of a time bucket. Wide enough that summaries stay a small fraction of the rows.
 BUCKET_MS = 3_600_000
 
 
-def _previous_max(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
-    """Adds `out`: the maximum of `value` over all earlier rows of the same keys (order: __start)."""
-    rows = Window.partitionBy(*keys, "__bucket").orderBy("__start").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carry = (
-        df.groupBy(*keys, "__bucket")
-        .agg(F.max(value).alias("__top"))
-        .withColumn("__carry", F.max("__top").over(buckets))
-        .select(*keys, "__bucket", "__carry")
-    )
-    return (
-        df.withColumn("__local", F.max(value).over(rows))
-        .join(carry, [*keys, "__bucket"])
-        .withColumn(out, F.greatest("__local", "__carry"))
-        .drop("__local", "__carry")
-    )
-
-
 def continuous_periods(
     df: DataFrame, keys: Sequence[str], start_ms: Column, end_ms: Column, *, bucket_ms: int = BUCKET_MS
 ) -> DataFrame:
@@ -54,11 +38,11 @@ def continuous_periods(
         .agg(F.max("__end").alias("__end"))
         .withColumn("__bucket", F.floor(F.col("__start") / bucket_ms))
     )
-    flagged = _previous_max(spans, ks, "__end", "__reach").withColumn(
+    flagged = running_max(spans, ks, "__bucket", ["__start"], "__end", "__reach").withColumn(
         "__opens", F.when(F.col("__reach").isNull() | (F.col("__start") > F.col("__reach")), F.col("__start"))
     )
     # An island's label is the start of the row that opened it: the last opening so far.
-    labelled = _previous_max(flagged, ks, "__opens", "__before").withColumn("__island", F.coalesce("__opens", "__before"))
+    labelled = running_max(flagged, ks, "__bucket", ["__start"], "__opens", "__before").withColumn("__island", F.coalesce("__opens", "__before"))
     return (
         labelled.groupBy(*ks, "__island")
         .agg(

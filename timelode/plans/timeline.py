@@ -10,9 +10,12 @@ from timelode.operators.nearest import binned, containing, nearest_span, top_wit
 from timelode.sources.tables import media_ms, records
 
 MIN_WINDOW_MS, MAX_WINDOW_MS, PAUSE_MS, MARGIN_MS = 90_000, 480_000, 8_000, 5_000
-GRID_MS, GAP_MS, MAX_FRAMES, MATCH_MS = 8_000, 1_000, 2_000, 100
+GRID_MS, GAP_MS, MAX_FRAMES, MATCH_MS = 8_000, 2_000, 2_000, 100
 #: Words that mark a moment worth a frame (fixed values).
-KEYWORDS = ("error", "open", "script", "config", "codice", "comando", "terminale", "installa", "salva", "esegui", "click")
+KEYWORDS = (
+    "codice", "comando", "terminale", "funzione", "classe", "file",
+    "configurazione", "errore", "copiamo", "incolliamo", "eseguiamo",
+)
 HASH_MOST, BRIGHTNESS_MOST = 4, 10
 
 

@@ -73,15 +73,12 @@ def chain_members(
         for i in range(own - 1, -1, -1):
             if ahead[i] < own:
                 exits[i] = exits[ahead[i]]
-        out = pdf.iloc[:own][[key, "__home", *order]].copy()
-        for prefix, at in (("next_", ahead), ("exit_", exits)):
-            for c in order:
-                column = pdf[c].astype("Int64") if c == time else pdf[c].astype(object)
-                got = column.reindex(at).reset_index(drop=True)
-                out[prefix + c] = got.where(got.notna(), None if c != time else pd.NA).to_numpy()
-        for c, v in values.items():
-            out[c] = v
-        return out
+        out = {c: pdf[c].iloc[:own] for c in (key, "__home", *order)}
+        for c in order:
+            at = [*pdf[c].tolist(), None]
+            out[f"next_{c}"] = pd.Series([at[i] for i in ahead], dtype=object)
+            out[f"exit_{c}"] = pd.Series([at[i] for i in exits], dtype=object)
+        return pd.DataFrame({**out, **values})
 
     linked = checkpointed(local.groupBy(key, "__home").applyInPandas(lambda pdf: links(pdf), schema("next", "exit", "payload")))
 
@@ -91,37 +88,35 @@ def chain_members(
     hops = linked.withColumn("__e", F.struct(*order)).join(entries, [key, "__e"], "left_semi")
     hops = hops.select(key, "__home", *order, *[f"exit_{c}" for c in order])
 
+    def places(pdf: pd.DataFrame, prefix: str = "") -> list[tuple]:
+        return list(zip(*(pdf[prefix + c].tolist() for c in order), strict=True))
+
     def follow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-        at = {tuple(r): i for i, r in enumerate(pdf[order].itertuples(index=False))}
-        i, seen = 0, []
+        here = places(pdf)
+        at, ahead = {p: i for i, p in enumerate(here)}, places(pdf, "exit_")
+        i, seen = at[min(here)], []
         while i is not None:
             seen.append(i)
-            ahead = tuple(pdf.loc[i, [f"exit_{c}" for c in order]])
-            i = at.get(ahead) if not pd.isna(ahead[0]) else None
-        return pdf.loc[seen, [key, "__home", *order]]
+            i = at.get(ahead[i])
+        return pdf.iloc[seen][[key, "__home", *order]]
 
     reached = hops.groupBy(key).applyInPandas(lambda pdf: follow(pdf), schema())
 
     def walk(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values(order, kind="stable").reset_index(drop=True)
-        at = {tuple(r): i for i, r in enumerate(left[order].itertuples(index=False))}
-        ahead = [at.get(tuple(r)) for r in left[[f"next_{c}" for c in order]].itertuples(index=False)]
-        seen = []
-        for entry in right[order].itertuples(index=False):
-            i = at.get(tuple(entry))
-            while i is not None:
-                seen.append(i)
-                i = ahead[i]
-        keep = [c for c in left.columns if not c.startswith("exit_")]
-        return left.loc[sorted(set(seen)), keep]
+        at, ahead, seen = {p: i for i, p in enumerate(places(left))}, places(left, "next_"), set()
+        for entry in places(right):
+            i = at.get(entry)
+            while i is not None and i not in seen:
+                seen.add(i)
+                i = at.get(ahead[i])
+        return left.iloc[sorted(seen)][[c for c in left.columns if not c.startswith("exit_")]]
 
     members = linked.groupBy(key, "__home").cogroup(reached.groupBy(key, "__home")).applyInPandas(lambda a, b: walk(a, b), schema("next", "payload"))
     return members.drop("__home")
 
 
 def sessions(
-    df: DataFrame, *, key: str, row_id: str, start: str, end: str, min_ms: int, max_ms: int, pause_ms: int
+    df: DataFrame, *, key: str, row_id: str, start: str, end: str, min_ms: int, max_ms: int, pause_ms: int, bucket_ms: int = BUCKET_MS
 ) -> DataFrame:
     """key, start_ms, first_id, end_ms, rows: greedy sessions of rows in the order (start, end, id). One ends
     before a row once it lasts at least `min_ms` and the row would take it beyond `max_ms` or comes at
@@ -148,11 +143,11 @@ def sessions(
             ahead[i], last[i] = j, e[j - 1]
         return ahead, {"end_ms": last, "rows": ahead - np.arange(own)}
 
-    found = chain_members(rows, key="key", time="s", tie=["e", "id"], columns=[], link=link, payload="end_ms bigint, rows bigint", bucket_ms=max(BUCKET_MS, 2 * max_ms))
+    found = chain_members(rows, key="key", time="s", tie=["e", "id"], columns=[], link=link, payload="end_ms bigint, rows bigint", bucket_ms=max(bucket_ms, 2 * max_ms))
     return found.select(F.col("key").alias(key), F.col("s").alias("start_ms"), F.col("id").alias("first_id"), "end_ms", "rows")
 
 
-def spaced(df: DataFrame, *, key: str, time: str, priority: str, gap_ms: int) -> DataFrame:
+def spaced(df: DataFrame, *, key: str, time: str, priority: str, gap_ms: int, bucket_ms: int = BUCKET_MS) -> DataFrame:
     """key, time, priority: the rows that a chronological sweep keeps at least `gap_ms` apart. A row nearer
     than that to the last kept one is dropped, unless its priority is higher: then it takes its place.
 
@@ -173,13 +168,14 @@ def spaced(df: DataFrame, *, key: str, time: str, priority: str, gap_ms: int) ->
             replaced[i] = j < n and t[j] - t[i] < gap_ms
         return ahead, {"replaced": replaced}
 
-    found = chain_members(rows, key="key", time="t", tie=["p"], columns=[], link=link, payload="replaced boolean", bucket_ms=max(BUCKET_MS, 2 * gap_ms))
+    found = chain_members(rows, key="key", time="t", tie=["p"], columns=[], link=link, payload="replaced boolean", bucket_ms=max(bucket_ms, 2 * gap_ms))
     return found.where("NOT replaced").select(F.col("key").alias(key), F.col("t").alias(time), F.col("p").alias(priority))
 
 
 def distinct_frames(df: DataFrame, *, key: str, row_id: str, time: str, signature: str, pinned: str, differs: Callable[[str, str], bool]) -> DataFrame:
     """key, time, row_id: the rows kept by a sweep that drops a row if its signature doesn't differ from that
-    of the last kept row, unless it is pinned (at least one pinned row per bucket keeps the sweep local).
+    of the last kept row, unless it is pinned. The first two rows of each later bucket and all rows of the
+    next one are in reach of a link, so an unpinned stretch of more than `bucket_ms` needs a pinned row.
 
     `time` is a bigint column in ms. Rows with a NULL key, id, time or signature are left out.
     """

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 
 def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "12g") -> SparkSession:
     """A session on this machine, for tests and benches. On a cluster the caller brings its own."""
+    for name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS"):  # one thread per task: the workers inherit it
+        os.environ.setdefault(name, "1")
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("timelode")
@@ -41,3 +45,21 @@ def checkpointed(df):
     """`df` cut from its lineage by a reliable checkpoint in the shared folder."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors once per application, so that functions of it can run there
+    wherever the driver was started."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    with tempfile.NamedTemporaryFile(prefix="timelode-", suffix=".zip", delete=False) as out:
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+            for path in sorted(root.rglob("*.py")):
+                archive.write(path, path.relative_to(root.parent))
+    spark.sparkContext.addPyFile(out.name)
+    _shipped.add(app)

@@ -68,7 +68,7 @@ def search_leaves(forest: Forest, vectors: np.ndarray, visits: int) -> tuple[np.
     node = np.zeros((n, trees), np.int64)
     far = np.zeros((n, trees), np.float32)
     own = np.ones((n, trees), bool)
-    flat, cuts = forest.planes.reshape(trees * inner, -1), forest.cuts.reshape(-1)
+    flat, cuts = forest.planes.reshape(trees * inner, vectors.shape[1]), forest.cuts.reshape(-1)
     for _ in range(forest.depth):
         at = tree * inner + node
         margin = np.einsum("nd,nkd->nk", vectors, flat[at]) - cuts[at]

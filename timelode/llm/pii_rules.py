@@ -41,16 +41,16 @@ _EXT = r"(?:,?\s?\(?(?:ext\.?|extension|x|int\.?|interno|durchwahl|dw|poste|anex
 _EXT_SPOKEN = r"(?:,? (?:extension|ext\.?) (?:\d{1,6}|(?:(?:%s)[ -]?)+))?" % "|".join(_DIGIT_WORDS)
 _PHONE = re.compile(
     rf"""(?<![\w@/.+\-–])(?:
-    (?:\+{_SP}?|00{_SP}?(?=(?:{_SP}?[\d()]){{10}}))[1-9]\d{{0,2}}(?:{_SP}?\(\d{{1,5}}\))?(?:{_SP}?\d+)+
-  | \(\+?\d{{1,3}}\){_SP}?\d+(?:{_SP}\d+)+
-  | \(?[2-9]\d\d\)?{_SP}\d{{3}}{_SP}\d{{4}}
-  | [2-9]\d\d/\d{{7}} | \(?[2-9]\d\d\)?{_SP}\d{{7}}
-  | \(?0\d{{1,4}}\)?{_SP}\d{{4,9}}(?:{_SP}\d{{1,4}})?
-  | 0\d(?:{_SP}\d\d){{4}}
-  | \(?0\d\d\)?{_SP}\d{{4}}{_SP}\d{{4}}
-  | 0\d{{4}}{_SP}?\d{{6}}
+    (?:\+{_SEP}?|00{_SEP}?(?=(?:{_SEP}?[\d()]){{10}}))[1-9]\d{{0,2}}(?:{_SEP}?\(\d{{1,5}}\))?(?:{_SEP}?\d+)+
+  | \(\+?\d{{1,3}}\){_SEP}?\d+(?:{_SEP}\d+)+
+  | \(?[2-9]\d\d\)?{_SEP}\d{{3}}{_SEP}\d{{4}}
+  | [2-9]\d\d/\d{{7}} | \(?[2-9]\d\d\)?{_SEP}\d{{7}}
+  | \(?0\d{{1,4}}\)?{_SEP}\d{{4,9}}(?:{_SEP}\d{{1,4}})?
+  | 0\d(?:{_SEP}\d\d){{4}}
+  | \(?0\d\d\)?{_SEP}\d{{4}}{_SEP}\d{{4}}
+  | 0\d{{4}}{_SEP}?\d{{6}}
   | 0[1-9]\d{{8,9}} | [2-9]\d{{9}}
-    ){_EXT}(?![\w@])(?!{_SP}?[\-–/:.]?\d)""",
+    ){_EXT}(?![\w@])(?![\-–/:.]\d)""",
     re.X | re.I,
 )
 _DIGIT = "|".join(sorted(set(_DIGIT_WORDS), key=len, reverse=True))

@@ -188,7 +188,7 @@ def copy_groups(df: DataFrame, *, row_id: str, code: str) -> DataFrame:
     no row; other columns are ignored. A group of any size is aggregated before its shuffle and joined
     with one row, so a code that a third of all records share is no unbounded group.
     """
-    rows = (
+    rows = checkpointed(
         df.select(F.col(f"`{row_id}`").alias("id"), F.col(f"`{code}`").alias("code"))
         .dropna()
         .groupBy("id")

@@ -18,19 +18,19 @@ NOT_CODE = ("plain_text", "ui_label")
 
 def code_normal(spark: SparkSession, d: str) -> DataFrame:
     """The mild normal form of each code block, as its hash and size."""
-    rows = tl._blocks(spark, d).select("id", cr.normal_code(F.col("code")).alias("normal")).distinct()
+    rows = tl._blocks(spark, d, "code").select("id", cr.normal_code(F.col("code")).alias("normal")).distinct()
     return rows.select("id", F.sha2("normal", 256).alias("normalized_hash"), F.length("normal").cast("bigint").alias("chars"))
 
 
 def code_kinds(spark: SparkSession, d: str) -> DataFrame:
     """Kind and language of each code block by the ordered rules."""
-    rows = tl._blocks(spark, d).select("id", cr.normal_code(F.col("code")).alias("normal")).where("normal <> ''").distinct()
+    rows = tl._blocks(spark, d, "code").select("id", cr.normal_code(F.col("code")).alias("normal")).where("normal <> ''").distinct()
     return rows.select("id", cr.code_kind(F.col("normal")).alias("k")).select("id", "k.content_type", "k.language")
 
 
 def _screen_code(spark: SparkSession, d: str) -> DataFrame:
     """Frames whose screen text is code-like, with its kind, stripped of prompts if it is a command."""
-    rows = tl._frames(spark, d).select("video_id", "id", "t", "ocr_confidence", cr.normal_code(F.col("ocr_text")).alias("normal")).where("normal <> ''")
+    rows = tl._frames(spark, d, "ocr_text", "ocr_confidence").select("video_id", "id", "t", "ocr_confidence", cr.normal_code(F.col("ocr_text")).alias("normal")).where("normal <> ''")
     rows = rows.withColumn("k", cr.code_kind(F.col("normal"))).select("*", "k.content_type", "k.language").where(~F.col("content_type").isin(*NOT_CODE))
     code = F.when(F.col("content_type") == "terminal_command", cr.normal_code(cr.without_prompts(F.col("normal")))).otherwise(F.col("normal"))
     return rows.withColumn("hash", F.sha2(code, 256))
@@ -51,7 +51,7 @@ def screen_code_groups(spark: SparkSession, d: str) -> DataFrame:
 def frame_code_flags(spark: SparkSession, d: str) -> DataFrame:
     """For every frame whether code was found on it now and whether the stored flag differs."""
     found = _screen_code(spark, d).select("id").distinct().withColumn("now", F.lit(True))
-    frames = tl._frames(spark, d).select("id", "contains_code").distinct()
+    frames = tl._frames(spark, d, "contains_code").select("id", "contains_code").distinct()
     now = F.coalesce("now", F.lit(False))
     return frames.join(found, "id", "left").select("id", now.alias("contains_code_now"), (now != F.coalesce("contains_code", F.lit(False))).alias("changed"))
 
@@ -60,7 +60,7 @@ def code_classes(spark: SparkSession, d: str) -> DataFrame:
     """How far each code block can be trusted, counted per video and class."""
     c = F.col("confidence")
     kind = F.when(F.col("verified"), "verified").when(c >= 0.9, "high_confidence").when(c >= 0.8, "ocr_extracted").otherwise("needs_review")
-    return tl._blocks(spark, d).select("id", "video_id", kind.alias("class")).distinct().groupBy("video_id", "class").agg(F.count("*").alias("blocks"))
+    return tl._blocks(spark, d, "verified", "confidence").select("id", "video_id", kind.alias("class")).distinct().groupBy("video_id", "class").agg(F.count("*").alias("blocks"))
 
 
 def analysis_gaps(spark: SparkSession, d: str) -> DataFrame:
@@ -90,7 +90,7 @@ def line_blocks(spark: SparkSession, d: str) -> DataFrame:
 def python_symbols(spark: SparkSession, d: str) -> DataFrame:
     """Top-level functions and classes of the Python code blocks with their line ranges; none where the
     code doesn't parse."""
-    rows = tl._blocks(spark, d).where("lower(language) = 'python'").select("id", "code").distinct()
+    rows = tl._blocks(spark, d, "language", "code").where("lower(language) = 'python'").select("id", "code").distinct()
     return rows.mapInPandas(_symbols, "id string, name string, first_line bigint, last_line bigint")
 
 

@@ -39,7 +39,7 @@ def best_section(text: Column) -> Column:
 def chunk_sections(spark: SparkSession, d: str) -> DataFrame:
     """The section of each chunk."""
     text = F.lower(F.concat_ws(" ", *[F.nullif(F.col(c), F.lit("")) for c in ("topic", "summary", "transcript", "ocr_text")]))
-    return tl._chunks(spark, d).select(F.col("id").alias("chunk_id"), "video_id", "s", best_section(text).alias("section")).distinct()
+    return tl._chunks(spark, d, "topic", "summary", "transcript", "ocr_text").select(F.col("id").alias("chunk_id"), "video_id", "s", best_section(text).alias("section")).distinct()
 
 
 def block_sections(spark: SparkSession, d: str) -> DataFrame:
@@ -58,7 +58,7 @@ def section_tops(spark: SparkSession, d: str) -> DataFrame:
 
 def outline(spark: SparkSession, d: str) -> DataFrame:
     """One Markdown block per section, in order: its heading and its first chunks with their excerpts."""
-    first = section_tops(spark, d).join(tl._chunks(spark, d).select(F.col("id").alias("chunk_id"), "summary").distinct(), "chunk_id")
+    first = section_tops(spark, d).join(tl._chunks(spark, d, "summary").select(F.col("id").alias("chunk_id"), "summary").distinct(), "chunk_id")
     line = F.concat(F.lit("- "), F.col("chunk_id"), F.lit(": "), F.coalesce(truncated(F.col("summary"), 80), F.lit("?")))
     lines = first.groupBy("section").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))), lambda x: x["line"]), "\n").alias("body"))
     return lines.select("section", F.concat(F.lit("## "), F.col("section"), F.lit("\n\n"), F.col("body")).alias("markdown"))
@@ -76,7 +76,7 @@ def _citations(spark: SparkSession, d: str) -> DataFrame:
 
 def _sources(spark: SparkSession, d: str) -> DataFrame:
     """The first chunks of each video as its documents' numbered sources."""
-    texts = tl._chunks(spark, d).select("video_id", F.col("id").alias("chunk_id"), F.concat_ws(" ", "summary", "transcript").alias("source")).distinct()
+    texts = tl._chunks(spark, d, "summary", "transcript").select("video_id", F.col("id").alias("chunk_id"), F.concat_ws(" ", "summary", "transcript").alias("source")).distinct()
     return top_within(texts, ["video_id"], [F.col("chunk_id")], VALID_RANKS, "rank").withColumn("rank", F.col("rank").cast("bigint"))
 
 
@@ -201,7 +201,7 @@ SQL = {
     "citations": f"WITH {tl.CHUNKS}, {_CIT} SELECT doc_id, rank, count(*) AS lines FROM ci GROUP BY ALL",
     "unknown_citations": f"WITH {tl.CHUNKS}, {_CIT}, {_UNK} SELECT * FROM un",
     "weak_claims": f"WITH {tl.CHUNKS}, {_CIT}, {_WEAK} SELECT * FROM we",
-    "markdown_sections": f"WITH {_RUN} SELECT doc_id, section_no, max(CASE WHEN starts_with(line, '## ') THEN {sql_non_empty('substr(line, 4)')} END) AS title, count(*) - 1 AS lines, max(regexp_matches(line, '[^ \\t\\r]') AND NOT starts_with(line, '## ') AND NOT regexp_matches(line, '^[ \\t]*<!--')) AS has_text FROM ru WHERE section_no > 0 GROUP BY doc_id, section_no",
+    "markdown_sections": f"WITH {_RUN} SELECT doc_id, CAST(section_no AS BIGINT) AS section_no, max(CASE WHEN starts_with(line, '## ') THEN {sql_non_empty('substr(line, 4)')} END) AS title, count(*) - 1 AS lines, max(regexp_matches(line, '[^ \\t\\r]') AND NOT starts_with(line, '## ') AND NOT regexp_matches(line, '^[ \\t]*<!--')) AS has_text FROM ru WHERE section_no > 0 GROUP BY doc_id, section_no",
     "code_fences": f"WITH {_FENCE} SELECT * FROM fe",
     "repeated_fences": f"WITH {_FENCE} SELECT doc_id, hash, count(*) AS times FROM fe GROUP BY ALL HAVING count(*) > 1",
     "structure_issues": f"WITH {_STR} SELECT * FROM st WHERE open_fence OR first_level <> 1",

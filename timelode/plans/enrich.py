@@ -19,12 +19,12 @@ def _spans(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _frames_in(spark: SparkSession, d: str) -> DataFrame:
-    seen = tl._frames(spark, d).where("ocr_text IS NOT NULL AND t IS NOT NULL")
+    seen = tl._frames(spark, d, "ocr_text", "ocr_confidence").where("ocr_text IS NOT NULL AND t IS NOT NULL")
     return containing(seen.select("video_id", "id", "t", "ocr_text", "ocr_confidence"), _spans(spark, d), key="video_id", time="t")
 
 
 def _blocks_in(spark: SparkSession, d: str) -> DataFrame:
-    blocks = tl._blocks(spark, d).where("t IS NOT NULL")
+    blocks = tl._blocks(spark, d, "language", "code", "confidence").where("t IS NOT NULL")
     return containing(blocks.select("video_id", "id", "t", "language", "code", "confidence"), _spans(spark, d), key="video_id", time="t")
 
 
@@ -54,7 +54,7 @@ def chunk_screen_text(spark: SparkSession, d: str) -> DataFrame:
 def chunk_confidence(spark: SparkSession, d: str) -> DataFrame:
     """Per chunk the mean, in millionths, over all known confidences of its segments, frames and code blocks."""
     spans = tl._chunks(spark, d).where("s IS NOT NULL").select("video_id", F.col("id").alias("chunk_id"), "s", "e")
-    spoken = tl._segments(spark, d).where("s IS NOT NULL").select("video_id", "id", F.col("s").alias("t"), "confidence")
+    spoken = tl._segments(spark, d, "confidence").where("s IS NOT NULL").select("video_id", "id", F.col("s").alias("t"), "confidence")
     said = containing(spoken, spans, key="video_id", time="t").select("chunk_id", F.lit("s").alias("k"), "id", "confidence")
     seen = _frames_in(spark, d).select("chunk_id", F.lit("f").alias("k"), "id", F.col("ocr_confidence").alias("confidence"))
     coded = _blocks_in(spark, d).select("chunk_id", F.lit("c").alias("k"), "id", "confidence")
@@ -73,7 +73,7 @@ def source_type(transcript: Column, screen: Column, code: Column) -> Column:
 def chunk_labels(spark: SparkSession, d: str) -> DataFrame:
     """Type, summary and topic of each chunk from what it holds."""
     first = _blocks_in(spark, d).groupBy("chunk_id").agg(F.min(F.struct("t", "id", F.lower(F.coalesce("language", F.lit("other"))).alias("language"), "code")).alias("b"))
-    rows = tl._chunks(spark, d).withColumnRenamed("id", "chunk_id").join(first, "chunk_id", "left")
+    rows = tl._chunks(spark, d, "transcript", "ocr_text").withColumnRenamed("id", "chunk_id").join(first, "chunk_id", "left")
     text = F.coalesce(non_empty(F.col("transcript")), non_empty(F.col("ocr_text")), non_empty(F.col("b.code")))
     summary = F.coalesce(F.nullif(truncated(text, SUMMARY_CHARS), F.lit("")), F.lit(NOTHING))
     prefix = F.when(F.col("b.language").isin("other", "text"), F.lit("Codice: ")).otherwise(F.concat(F.lit("Codice "), F.col("b.language"), F.lit(": ")))
@@ -91,7 +91,7 @@ def chunk_labels(spark: SparkSession, d: str) -> DataFrame:
 
 def chunk_records(spark: SparkSession, d: str) -> DataFrame:
     """Chunks unpivoted into one record per kind of text, blank ones dropped, with the text's hash."""
-    rows = tl._chunks(spark, d).select("id", "summary", "transcript", F.col("ocr_text").alias("ocr"), "topic")
+    rows = tl._chunks(spark, d, "topic", "summary", "transcript", "ocr_text").select("id", "summary", "transcript", F.col("ocr_text").alias("ocr"), "topic")
     combined = F.concat_ws("\n\n", *[non_empty(F.col(c)) for c in ("topic", "summary", "transcript", "ocr")])
     long = rows.withColumn("combined", combined).unpivot("id", ["transcript", "ocr", "summary", "combined"], "embedding_type", "text")
     kept = long.withColumn("text", non_empty(F.col("text"))).where("text IS NOT NULL").distinct()

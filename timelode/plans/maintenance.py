@@ -12,6 +12,7 @@ from timelode.sources.tables import table
 
 #: Rows of the segments that came in before this instant are the earlier state.
 CUT = "2025-08-01 00:00:00"
+VIDEO = ("filename", "title", "duration_seconds", "file_hash", "path", "created_at", "file_fingerprint")
 
 
 def _counted(spark: SparkSession, d: str) -> list[DataFrame]:
@@ -40,7 +41,7 @@ def unregistered_videos(spark: SparkSession, d: str) -> DataFrame:
 
 def videos_merged(spark: SparkSession, d: str) -> DataFrame:
     """Registered videos merged with a new scan of those of known duration: title and creation time stay."""
-    videos = tl._videos(spark, d)
+    videos = tl._videos(spark, d, *VIDEO)
     scan = videos.where("duration_seconds IS NOT NULL").withColumns({"title": F.lit(None).cast("string"), "created_at": F.lit("now"), "file_hash": F.sha2("file_hash", 256)})
     known = videos.where("file_fingerprint IS NOT NULL")
     return upsert(known, scan, key="id", keep=["title", "created_at"], fill=["file_fingerprint"])
@@ -48,7 +49,7 @@ def videos_merged(spark: SparkSession, d: str) -> DataFrame:
 
 def file_changes(spark: SparkSession, d: str) -> DataFrame:
     """Files added, removed or modified between a scan with fingerprints and one with durations."""
-    videos = tl._videos(spark, d)
+    videos = tl._videos(spark, d, "title", "duration_seconds", "file_hash", "path", "file_fingerprint")
     old = videos.where("file_fingerprint IS NOT NULL").select("path", F.col("file_hash").alias("value"))
     new = videos.where("duration_seconds IS NOT NULL").select("path", F.when(F.col("title").isNull(), F.sha2("file_hash", 256)).otherwise(F.col("file_hash")).alias("value"))
     return changes(old, new, key="path", value="value")
@@ -75,7 +76,7 @@ def stale_videos(spark: SparkSession, d: str) -> DataFrame:
 
 def ingest_actions(spark: SparkSession, d: str) -> DataFrame:
     """What to do with each scanned file: skip, refresh the fingerprint, or ingest."""
-    videos = tl._videos(spark, d)
+    videos = tl._videos(spark, d, "duration_seconds", "file_hash", "file_fingerprint")
     known = videos.where("duration_seconds IS NOT NULL").select("id", F.col("file_fingerprint").alias("was"), F.col("file_hash").alias("hash"))
     scan = videos.select("id", F.coalesce("file_fingerprint", F.lit("?")).alias("now"), "file_hash")
     action = F.when(F.col("was") == F.col("now"), "skip").when(F.col("hash") == F.col("file_hash"), "refresh").otherwise("ingest")
@@ -84,14 +85,14 @@ def ingest_actions(spark: SparkSession, d: str) -> DataFrame:
 
 def frames_updated(spark: SparkSession, d: str) -> DataFrame:
     """Frames with screen text and confidence rewritten where the confidence is low, all else untouched."""
-    frames = tl._frames(spark, d).select("id", "video_id", "ocr_text", "ocr_confidence", "contains_code").distinct()
+    frames = tl._frames(spark, d, "ocr_text", "ocr_confidence", "contains_code").select("id", "video_id", "ocr_text", "ocr_confidence", "contains_code").distinct()
     low = frames.where("ocr_confidence < 0.5").select("id", "video_id", F.lit("").alias("ocr_text"), F.lit(None).cast("double").alias("ocr_confidence"))
     return update_columns(frames, low, keys=["id", "video_id"], columns=["ocr_text", "ocr_confidence"])
 
 
 def title_slugs(spark: SparkSession, d: str) -> DataFrame:
     """Slugs of the videos' titles and how many videos share each."""
-    rows = tl._videos(spark, d).select("id", slug(F.coalesce("title", "filename")).alias("slug")).distinct()
+    rows = tl._videos(spark, d, "title", "filename").select("id", slug(F.coalesce("title", "filename")).alias("slug")).distinct()
     return rows.groupBy("slug").agg(F.count("*").alias("videos"), F.min("id").alias("first_id"))
 
 

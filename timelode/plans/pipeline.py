@@ -34,7 +34,7 @@ def run(spark: SparkSession, sf_dir: str, out: str) -> DataFrame:
 
 def chunk_index(spark: SparkSession, d: str) -> DataFrame:
     """The search index over all chunk records: exact hashing embeddings of their texts."""
-    rows = tl._chunks(spark, d).select("id", "video_id", F.concat_ws("\n\n", "topic", "summary", "transcript", "ocr_text").alias("text")).distinct()
+    rows = tl._chunks(spark, d, "topic", "summary", "transcript", "ocr_text").select("id", "video_id", F.concat_ws("\n\n", "topic", "summary", "transcript", "ocr_text").alias("text")).distinct()
     return rows.where("text <> ''").select(F.concat("id", F.lit("_combined")).alias("record_id"), "video_id", embed_blake2b(F.col("text")).alias("vector"))
 
 
@@ -46,7 +46,7 @@ def document_pages(spark: SparkSession, d: str) -> DataFrame:
 
 def code_validity(spark: SparkSession, d: str) -> DataFrame:
     """Whether each JSON or Python code block parses; other languages aren't judged."""
-    rows = tl._blocks(spark, d).select("id", F.lower("language").alias("language"), "code").where("language IN ('json', 'python')").distinct()
+    rows = tl._blocks(spark, d, "language", "code").select("id", F.lower("language").alias("language"), "code").where("language IN ('json', 'python')").distinct()
     json = rows.where("language = 'json'").select("id", "language", F.expr("try_parse_json(code) IS NOT NULL").alias("valid"))
     python = rows.where("language = 'python'").mapInPandas(_parses, "id string, language string, valid boolean")
     return json.unionByName(python)

@@ -46,7 +46,7 @@ def search_indexes(spark: SparkSession, d: str) -> DataFrame:
 
 def filtered_records(spark: SparkSession, d: str) -> DataFrame:
     """Embedding records of chunks of MP4 videos that overlap the asked time range."""
-    wanted = tl._videos(spark, d).where("lower(filename) LIKE '%.mp4'").select(F.col("id").alias("video_id")).distinct()
+    wanted = tl._videos(spark, d, "filename").where("lower(filename) LIKE '%.mp4'").select(F.col("id").alias("video_id")).distinct()
     lo, hi = F.coalesce("s", F.lit(0)), F.coalesce("e", "s", F.lit(0))
     spans = tl._chunks(spark, d).where((hi >= LOW_MS) & (lo <= HIGH_MS) & (F.col("s").isNotNull() | F.col("e").isNotNull()))
     spans = spans.select(F.col("id").alias("chunk_id"), "video_id").distinct().join(wanted, "video_id", "left_semi")

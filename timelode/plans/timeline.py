@@ -19,28 +19,28 @@ KEYWORDS = (
 HASH_MOST, BRIGHTNESS_MOST = 4, 10
 
 
-def _segments(spark: SparkSession, d: str) -> DataFrame:
-    rows = records(spark, d, "transcript_segments", "id", "video_id", "start_seconds", "end_seconds", "text", "confidence")
+# Readers of one row per record: the key, the times in ms and only the further columns that are named, since the
+# distinct that drops repeated records would carry every column it is given through its shuffle.
+def _segments(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    rows = records(spark, d, "transcript_segments", "id", "video_id", "start_seconds", "end_seconds", *more)
     return rows.withColumn("s", media_ms("start_seconds")).withColumn("e", media_ms("end_seconds"))
 
 
-def _frames(spark: SparkSession, d: str) -> DataFrame:
-    rows = records(spark, d, "frames", "id", "video_id", "timestamp_seconds", "perceptual_hash", "ocr_text", "ocr_confidence", "contains_code")
-    return rows.withColumn("t", media_ms("timestamp_seconds"))
+def _frames(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    return records(spark, d, "frames", "id", "video_id", "timestamp_seconds", *more).withColumn("t", media_ms("timestamp_seconds"))
 
 
-def _blocks(spark: SparkSession, d: str) -> DataFrame:
-    rows = records(spark, d, "code_blocks", "id", "video_id", "timestamp_seconds", "language", "code", "source", "confidence", "verified")
-    return rows.withColumn("t", media_ms("timestamp_seconds"))
+def _blocks(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    return records(spark, d, "code_blocks", "id", "video_id", "timestamp_seconds", *more).withColumn("t", media_ms("timestamp_seconds"))
 
 
-def _chunks(spark: SparkSession, d: str) -> DataFrame:
-    rows = records(spark, d, "chunks", "id", "video_id", "start_seconds", "end_seconds", "topic", "summary", "transcript", "ocr_text")
+def _chunks(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    rows = records(spark, d, "chunks", "id", "video_id", "start_seconds", "end_seconds", *more)
     return rows.withColumn("s", media_ms("start_seconds")).withColumn("e", media_ms("end_seconds"))
 
 
-def _videos(spark: SparkSession, d: str) -> DataFrame:
-    return records(spark, d, "videos", "id", "filename", "title", "duration_seconds", "file_hash", "path", "created_at", "file_fingerprint")
+def _videos(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    return records(spark, d, "videos", "id", *more)
 
 
 def transcript_windows(spark: SparkSession, d: str) -> DataFrame:
@@ -51,7 +51,7 @@ def transcript_windows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
-    frames = _frames(spark, d).where("ocr_text IS NOT NULL").select("video_id", "t")
+    frames = _frames(spark, d, "ocr_text").where("ocr_text IS NOT NULL").select("video_id", "t")
     return frames.unionByName(_blocks(spark, d).select("video_id", "t")).dropna().distinct()
 
 
@@ -60,7 +60,7 @@ def event_sessions(spark: SparkSession, d: str) -> DataFrame:
     the margin and clipped to the video."""
     points = _events(spark, d).select("video_id", F.col("t").alias("s"), F.col("t").alias("e"), F.col("t").cast("string").alias("id"))
     found = sessions(points, key="video_id", row_id="id", start="s", end="e", min_ms=MIN_WINDOW_MS, max_ms=MAX_WINDOW_MS, pause_ms=PAUSE_MS)
-    lengths = _videos(spark, d).select(F.col("id").alias("video_id"), media_ms("duration_seconds").alias("duration_ms"))
+    lengths = _videos(spark, d, "duration_seconds").select(F.col("id").alias("video_id"), media_ms("duration_seconds").alias("duration_ms"))
     low = F.greatest(F.lit(0), F.col("start_ms") - MARGIN_MS)
     high = F.col("end_ms") + MARGIN_MS
     return found.join(lengths, "video_id", "left").select(
@@ -69,7 +69,7 @@ def event_sessions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _grid(spark: SparkSession, d: str) -> DataFrame:
-    lengths = _videos(spark, d).select(F.col("id").alias("video_id"), media_ms("duration_seconds").alias("duration_ms")).where("duration_ms > 0").distinct()
+    lengths = _videos(spark, d, "duration_seconds").select(F.col("id").alias("video_id"), media_ms("duration_seconds").alias("duration_ms")).where("duration_ms > 0").distinct()
     return lengths.select("video_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("duration_ms") - 1, F.lit(GRID_MS).cast("bigint"))).alias("t"))
 
 
@@ -84,12 +84,12 @@ def _has_keyword(text: Column) -> Column:
 
 def keyword_midpoints(spark: SparkSession, d: str) -> DataFrame:
     """The middle of each segment whose text has one of the keywords."""
-    return _segments(spark, d).where(_has_keyword(F.col("text"))).select("video_id", "id", F.expr("(s + e) div 2").alias("t")).dropna()
+    return _segments(spark, d, "text").where(_has_keyword(F.col("text"))).select("video_id", "id", F.expr("(s + e) div 2").alias("t")).dropna()
 
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
     grid = _grid(spark, d).withColumn("priority", F.lit(0))
-    scene = _frames(spark, d).where("contains_code").select("video_id", "t").dropna().withColumn("priority", F.lit(1))
+    scene = _frames(spark, d, "contains_code").where("contains_code").select("video_id", "t").dropna().withColumn("priority", F.lit(1))
     words = keyword_midpoints(spark, d).select("video_id", "t").withColumn("priority", F.lit(2))
     return grid.unionByName(scene).unionByName(words)
 
@@ -112,7 +112,7 @@ def hash_distance(a: Column, b: Column) -> Column:
 
 def frame_hash_steps(spark: SparkSession, d: str) -> DataFrame:
     """For each frame the previous one within its time bucket and how their picture hashes differ."""
-    rows = _frames(spark, d).where("perceptual_hash IS NOT NULL AND t IS NOT NULL").withColumn("bucket", F.floor(F.col("t") / 3_600_000))
+    rows = _frames(spark, d, "perceptual_hash").where("perceptual_hash IS NOT NULL AND t IS NOT NULL").withColumn("bucket", F.floor(F.col("t") / 3_600_000))
     order = Window.partitionBy("video_id", "bucket").orderBy("t", "id")
     pairs = rows.withColumn("before", F.lag("perceptual_hash").over(order)).where("before IS NOT NULL")
     return pairs.select("id", hash_distance(F.col("before"), F.col("perceptual_hash")).cast("bigint").alias("bits"))
@@ -127,7 +127,7 @@ def _differ(a: str, b: str) -> bool:
 def frame_sweep(spark: SparkSession, d: str) -> DataFrame:
     """Frames left after near-duplicates of the last kept frame are dropped; the first frame of each ten
     minutes always stays."""
-    rows = _frames(spark, d).where("perceptual_hash RLIKE '^[0-9a-fA-F]{16,}$'").withColumn("cell", F.floor(F.col("t") / 600_000))
+    rows = _frames(spark, d, "perceptual_hash").where("perceptual_hash RLIKE '^[0-9a-fA-F]{16,}$'").withColumn("cell", F.floor(F.col("t") / 600_000))
     first = Window.partitionBy("video_id", "cell").orderBy("t", "id")
     rows = rows.withColumn("pinned", F.row_number().over(first) == 1)
     return distinct_frames(rows, key="video_id", row_id="id", time="t", signature="perceptual_hash", pinned="pinned", differs=_differ).select("video_id", "id", "t")
@@ -184,7 +184,7 @@ def block_chunk(spark: SparkSession, d: str) -> DataFrame:
 
 def blocks_in_sources(spark: SparkSession, d: str) -> DataFrame:
     """Code blocks that lie within a chunk whose text mentions a script, each once (a semi join)."""
-    sources = _chunks(spark, d).where("lower(coalesce(transcript, '')) LIKE '%script%'").select("video_id", "s", "e")
+    sources = _chunks(spark, d, "transcript").where("lower(coalesce(transcript, '')) LIKE '%script%'").select("video_id", "s", "e")
     blocks = _probes(spark, d).withColumn("bin", F.floor(F.col("t") / 60_000))
     index = binned(sources, "s", "e").withColumnsRenamed({"__bin": "bin", "video_id": "v"})
     inside = (F.col("video_id") == F.col("v")) & (blocks["bin"] == index["bin"]) & F.col("t").between(F.col("s"), F.col("e"))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from timelode.operators.scan import running_max
+from timelode.session import checkpointed
 
 #: Width of a time bucket. Wide enough that summaries stay a small fraction of the rows.
 BUCKET_MS = 3_600_000
@@ -30,7 +31,8 @@ def continuous_periods(
     """
     named = [F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(keys)]
     ks = [f"__k{i}" for i in range(len(keys))]
-    spans = (
+    # The distinct spans are read four times below; kept, the table behind them is read once.
+    spans = checkpointed(
         df.select(*named, start_ms.alias("__start"), end_ms.alias("__end"))
         .where("__end > __start")
         .dropna(subset=ks)

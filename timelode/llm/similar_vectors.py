@@ -191,7 +191,7 @@ def most_similar(
     depth = max(0, min(search.max_depth, int(np.ceil(np.log2(max(1, n) / search.leaf)))))
     share = min(1.0, 1.05 * search.fit_sample / max(1, n))
     picked = copies.where(F.pmod(F.xxhash64(F.lit(2), "k1"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
-    sample = picked.select("vec").limit(search.fit_sample).toArrow()
+    sample = picked.orderBy("k1", "k2").limit(search.fit_sample).select("vec").toArrow()  # the same whatever the partitions
     points = _unit(_matrix(sample.column(0), dims)).astype(np.float32) if len(sample) else np.zeros((0, dims), np.float32)
     forest = fit_forest(points, trees=search.trees, depth=depth)
 

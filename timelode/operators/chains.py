@@ -80,6 +80,9 @@ def chain_members(
             out[f"exit_{c}"] = pd.Series([at[i] for i in exits], dtype=object)
         return pd.DataFrame({**out, **values})
 
+    # Few bytes but much Python: a stated number of partitions keeps them from being merged into a few tasks.
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    local = local.repartition(parts, key, "__home")
     linked = checkpointed(local.groupBy(key, "__home").applyInPandas(lambda pdf: links(pdf), schema("next", "exit", "payload")))
 
     start = linked.groupBy(key).agg(F.min(F.struct(*order)).alias("__e"))
@@ -111,7 +114,8 @@ def chain_members(
                 i = at.get(ahead[i])
         return left.iloc[sorted(seen)][[c for c in left.columns if not c.startswith("exit_")]]
 
-    members = linked.groupBy(key, "__home").cogroup(reached.groupBy(key, "__home")).applyInPandas(lambda a, b: walk(a, b), schema("next", "payload"))
+    spread = linked.repartition(parts, key, "__home")
+    members = spread.groupBy(key, "__home").cogroup(reached.repartition(parts, key, "__home").groupBy(key, "__home")).applyInPandas(lambda a, b: walk(a, b), schema("next", "payload"))
     return members.drop("__home")
 
 

@@ -247,6 +247,9 @@ sweep AS (
   FROM sweep s JOIN o ON o.v = s.v AND o.n = s.n + 1),
 kept AS (SELECT v AS video_id, arg_max(t, n) AS t, arg_max(p, n) AS priority FROM sweep GROUP BY v, k)"""
 
+_DIFFERS = f"""(o.pinned OR bit_count(xor(CAST('0x' || substr(o.h, 1, 16) AS UBIGINT), CAST('0x' || substr(s.h, 1, 16) AS UBIGINT))) > {HASH_MOST}
+  OR (length(o.h) >= 18 AND length(s.h) >= 18 AND abs(CAST('0x' || substr(o.h, 17, 2) AS BIGINT) - CAST('0x' || substr(s.h, 17, 2) AS BIGINT)) > {BRIGHTNESS_MOST}))"""
+
 SQL = {
     "transcript_windows": f"WITH RECURSIVE {SEGMENTS}, src AS (SELECT video_id AS v, id, s, e FROM seg), {_sessions_sql('src')} SELECT v AS video_id, ws AS start_ms, wid AS first_id, we AS end_ms, c AS segments FROM win",
     "event_sessions": f"WITH RECURSIVE {FRAMES}, {BLOCKS}, {VIDEOS}, src AS (SELECT video_id AS v, CAST(t AS VARCHAR) AS id, t AS s, t AS e FROM (SELECT video_id, t FROM fr WHERE ocr_text IS NOT NULL UNION SELECT video_id, t FROM bl WHERE t IS NOT NULL)), {_sessions_sql('src')} SELECT v AS video_id, greatest(0, ws - {MARGIN_MS}) AS start_ms, least(we + {MARGIN_MS}, coalesce(duration_ms, we + {MARGIN_MS})) AS end_ms, c AS events FROM win LEFT JOIN (SELECT DISTINCT id, duration_ms FROM vi) d ON d.id = v",
@@ -255,6 +258,15 @@ SQL = {
     "frame_candidates": f"WITH RECURSIVE {_CANDIDATES} SELECT * FROM kept",
     "frames_selected": f"WITH RECURSIVE {_CANDIDATES} SELECT video_id, t, priority FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY priority DESC, t) AS r FROM kept) WHERE r <= {MAX_FRAMES}",
     "frame_hash_steps": f"WITH {FRAMES}, st AS (SELECT id, perceptual_hash AS h, lag(perceptual_hash) OVER (PARTITION BY video_id, t // 3600000 ORDER BY t, id) AS b FROM fr WHERE perceptual_hash IS NOT NULL AND t IS NOT NULL) SELECT id, CAST(bit_count(xor(CAST('0x' || substr(h, 1, 16) AS UBIGINT), CAST('0x' || substr(b, 1, 16) AS UBIGINT))) AS BIGINT) AS bits FROM st WHERE b IS NOT NULL",
+    "frame_sweep": f"""WITH RECURSIVE {FRAMES}, o AS (
+  SELECT video_id AS v, id, t, perceptual_hash AS h, row_number() OVER (PARTITION BY video_id ORDER BY t, id) AS n,
+    row_number() OVER (PARTITION BY video_id, t // 600000 ORDER BY t, id) = 1 AS pinned
+  FROM fr WHERE regexp_matches(perceptual_hash, '^[0-9a-fA-F]{{16,}}$') AND t IS NOT NULL),
+sweep AS (
+  SELECT v, n, id, t, h, true AS kept FROM o WHERE n = 1
+  UNION ALL
+  SELECT o.v, o.n, o.id, o.t, CASE WHEN {_DIFFERS} THEN o.h ELSE s.h END, {_DIFFERS} FROM sweep s JOIN o ON o.v = s.v AND o.n = s.n + 1)
+SELECT v AS video_id, id, t FROM sweep WHERE kept""",
     "match_frames": f"WITH {VIDEOS}, {FRAMES}, {GRID} SELECT g.video_id, g.t AS want, arg_min(f.id, (abs(f.t - g.t), f.t, f.id)) AS frame_id, arg_min(f.t, (abs(f.t - g.t), f.t, f.id)) AS t FROM grid g JOIN fr f ON f.video_id = g.video_id AND abs(f.t - g.t) <= {MATCH_MS} GROUP BY g.video_id, g.t",
     "inspect_segment": _nearest_sql("SELECT video_id, id AS sid, s, e FROM seg", SEGMENTS, "segment_id"),
     "inspect_chunk": _nearest_sql("SELECT video_id, id AS sid, s, e FROM ch", CHUNKS, "chunk_id"),

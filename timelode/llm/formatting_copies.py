@@ -56,6 +56,14 @@ _NESTED = re.compile(r"[(){}<>]")
 _HEAD_WORDS = re.compile(r"[\s>$#`]*\w[\w./:@\\\s-]*$")
 
 
+def _before(text: str, at: int, skipped) -> str:
+    """The last character before `at` that isn't skipped."""
+    at -= 1
+    while at >= 0 and skipped(text[at]):
+        at -= 1
+    return text[at] if at >= 0 else ""
+
+
 def field_starts(text: str) -> tuple[list[int], bool]:
     """Where the named fields of a flat list begin (objects, mappings, assignments, a command's --options),
     and whether words of a command stand before them. No fields for any other code."""
@@ -66,13 +74,13 @@ def field_starts(text: str) -> tuple[list[int], bool]:
     fields = []
     if not _NESTED.search(body):
         for m in _FIELD.finditer(text, head.end()):
-            after, before = text[m.end() : m.end() + 2], text[: m.start(1)].rstrip()[-1:]
+            after, before = text[m.end() : m.end() + 2], _before(text, m.start(1), str.isspace)
             if m[3] == "=":
                 named = after[:1] not in ("=", ">")
             elif after == "//":
                 named = False
             else:
-                line = text[: m.start(1)].rstrip(" \t ")[-1:]
+                line = _before(text, m.start(1), " \t\xa0".__contains__)
                 named = bool(m[2]) or not after[:1].strip() or after[:1] in _QUOTES + "[" or before in ("{", ",") or line in ("", "\n")
             if named:
                 fields.append(m.start(1))

@@ -28,10 +28,11 @@ _STREET_FR = "rue|avenue|boulevard|place|quai|allée|impasse|chemin|cours|bd|av\
 _STREET_IT = "via|viale|piazza|piazzale|corso|largo|vicolo|strada|v\\.le|p\\.zza"
 _STREET_ES = "c/|calle|avenida|avda\\.?|plaza|paseo|ronda|camino"
 _STREET_DE = "straße|strasse|str\\.|weg|platz|allee|gasse|ring|ufer|damm"
-_PART = r"[A-Za-z0-9À-ÖØ-öø-ÿ_+-]+"
+# Parts of an address are bounded as mail itself bounds them, so that no text makes the search quadratic.
+_PART = r"[A-Za-z0-9À-ÖØ-öø-ÿ_+-]{1,64}"
 _EMAIL = re.compile(
-    rf"(?<![\w.+-])(?P<local>{_PART}(?:(?:\.|{_DOT_WORD}){_PART})*)(?:(?P<tight>{_AT_TIGHT})|(?P<word>{_AT_WORD}))"
-    rf"(?P<domain>{_PART}(?:(?:\.|{_DOT_WORD}){_PART})*?(?:\.|{_DOT_WORD})(?P<top>[A-Za-z]{{2,24}}))(?![\w-])(?!(?:\.|{_DOT_WORD})[A-Za-z]{{2}})",
+    rf"(?<![\w.+-])(?P<local>{_PART}(?:(?:\.|{_DOT_WORD}){_PART}){{0,12}})(?:(?P<tight>{_AT_TIGHT})|(?P<word>{_AT_WORD}))"
+    rf"(?P<domain>{_PART}(?:(?:\.|{_DOT_WORD}){_PART}){{0,12}}?(?:\.|{_DOT_WORD})(?P<top>[A-Za-z]{{2,24}}))(?![\w-])(?!(?:\.|{_DOT_WORD})[A-Za-z]{{2}})",
     re.I,
 )
 _SPELLED_DOT = re.compile(_DOT_WORD, re.I)
@@ -41,8 +42,8 @@ _EXT = r"(?:,?\s?\(?(?:ext\.?|extension|x|int\.?|interno|durchwahl|dw|poste|anex
 _EXT_SPOKEN = r"(?:,? (?:extension|ext\.?) (?:\d{1,6}|(?:(?:%s)[ -]?)+))?" % "|".join(_DIGIT_WORDS)
 _PHONE = re.compile(
     rf"""(?<![\w@/.+\-–])(?:
-    (?:\+{_SEP}?|00{_SEP}?(?=(?:{_SEP}?[\d()]){{10}}))[1-9]\d{{0,2}}(?:{_SEP}?\(\d{{1,5}}\))?(?:{_SEP}?\d+)+
-  | \(\+?\d{{1,3}}\){_SEP}?\d+(?:{_SEP}\d+)+
+    (?:\+{_SEP}?|00{_SEP}?(?=(?:{_SEP}?[\d()]){{10}}))[1-9]\d{{0,2}}(?:{_SEP}?\(\d{{1,5}}\))?\d{{0,14}}(?:{_SEP}\d{{1,14}}){{0,7}}
+  | \(\+?\d{{1,3}}\){_SEP}?\d{{1,14}}(?:{_SEP}\d{{1,14}}){{1,7}}
   | \(?[2-9]\d\d\)?{_SEP}\d{{3}}{_SEP}\d{{4}}
   | [2-9]\d\d/\d{{7}} | \(?[2-9]\d\d\)?{_SEP}\d{{7}}
   | \(?0\d{{1,4}}\)?{_SEP}\d{{4,9}}(?:{_SEP}\d{{1,4}})?

@@ -24,6 +24,8 @@ SECTIONS = (
 )
 DEFAULT_SECTION, CODE_SECTION = "Funzionalita principali", "Appendici"
 TOP_CHUNKS, VALID_RANKS, LEAST_OVERLAP, EXCERPT = 5, 5, 0.12, 320
+#: The reference numbers up to six sources; VALID_RANKS is the bound of the SQL alone, which stops one short of it.
+MOST_SOURCES = 6
 
 
 def best_section(text: Column) -> Column:
@@ -77,7 +79,7 @@ def _citations(spark: SparkSession, d: str) -> DataFrame:
 def _sources(spark: SparkSession, d: str) -> DataFrame:
     """The first chunks of each video as its documents' numbered sources."""
     texts = tl._chunks(spark, d, "summary", "transcript").select("video_id", F.col("id").alias("chunk_id"), F.concat_ws(" ", "summary", "transcript").alias("source")).distinct()
-    return top_within(texts, ["video_id"], [F.col("chunk_id")], VALID_RANKS, "rank").withColumn("rank", F.col("rank").cast("bigint"))
+    return top_within(texts, ["video_id"], [F.col("chunk_id")], MOST_SOURCES, "rank").withColumn("rank", F.col("rank").cast("bigint"))
 
 
 def citations(spark: SparkSession, d: str) -> DataFrame:

@@ -77,3 +77,23 @@ def test_level_by_level_search_is_the_shared_queue():
                 stack += [(2 * node + 1 + side, far), (2 * node + 2 - side, max(far, abs(margin)))]
         worst = max(cost[f] for f in found)
         assert sum(c < worst - 1e-5 for c in cost.values()) <= 10
+
+
+def test_more_near_copies_and_scaled_copies_than_candidates(spark):
+    rng = np.random.default_rng(5)
+    rows = clustered(200, seed=5)
+    one, two = rng.standard_normal((2, DIMS))
+    rows += [(f"n{i:04d}", f"n{i}", (one + 1e-3 * rng.standard_normal(DIMS)).tolist(), 1, "x") for i in rng.permutation(300)]
+    rows += [(f"s{i:04d}", f"s{i}", (two * (1 + int(i))).tolist(), 1, "x") for i in rng.permutation(100)]
+    assert run(spark, rows) == brute(rows, 5, 0.85)
+
+
+def test_a_shared_vector_whose_nearest_lie_in_one_of_its_groups(spark):
+    rng = np.random.default_rng(6)
+    centre = rng.standard_normal(DIMS)
+    rows = [("a", "hot", centre.tolist(), 1, "x"), ("b", "cold", centre.tolist(), 1, "x")]
+    rows += [(f"h{i:03d}", "hot", (centre + 0.01 * rng.standard_normal(DIMS)).tolist(), 1, "x") for i in range(40)]
+    rows += [(f"o{i:03d}", f"o{i}", (centre + 0.2 * rng.standard_normal(DIMS)).tolist(), 1, "x") for i in range(10)]
+    expected = brute(rows, 5, 0.85)
+    assert sum(r[0] == "a" for r in expected) == 5
+    assert run(spark, rows) == expected

@@ -151,6 +151,31 @@ def sessions(
     return found.select(F.col("key").alias(key), F.col("s").alias("start_ms"), F.col("id").alias("first_id"), "end_ms", "rows")
 
 
+def event_windows(df: DataFrame, *, key: str, time: str, min_ms: int, max_ms: int, margin_ms: int, bucket_ms: int = BUCKET_MS) -> DataFrame:
+    """key, start_ms, end_ms, rows: greedy windows of the distinct times, each from `margin_ms` before its first
+    one (not below 0). One ends before a time more than `max_ms` after that start once the time before lies at
+    least `min_ms` after it. Windows end `margin_ms` after their last time, a key's last one after `min_ms` at least.
+
+    `time` is a bigint column in ms, not below 0. Rows with a NULL key or time are left out; an empty table
+    gives no row; other columns are ignored.
+    """
+    rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{time}`").alias("t")).dropna().distinct()
+
+    def link(pdf: pd.DataFrame, own: int):
+        t = pdf["t"].to_numpy(np.int64)
+        n = len(t)
+        begin = np.maximum(0, t[:own] - margin_ms)
+        late, long = np.searchsorted(t, begin + max_ms, "right"), np.searchsorted(t, begin + min_ms) + 1
+        ahead = np.minimum(n, np.maximum(np.maximum(late, long), np.arange(own) + 1))
+        end = np.maximum(t[ahead - 1] + margin_ms, begin + np.where(ahead == n, min_ms, 0))
+        return ahead, {"start_ms": begin, "end_ms": end, "rows": ahead - np.arange(own)}
+
+    found = chain_members(
+        rows, key="key", time="t", tie=[], columns=[], link=link, payload="start_ms bigint, end_ms bigint, rows bigint", bucket_ms=max(bucket_ms, 2 * max_ms)
+    )
+    return found.select(F.col("key").alias(key), "start_ms", "end_ms", "rows")
+
+
 def spaced(df: DataFrame, *, key: str, time: str, priority: str, gap_ms: int, bucket_ms: int = BUCKET_MS) -> DataFrame:
     """key, time, priority: the rows that a chronological sweep keeps at least `gap_ms` apart. A row nearer
     than that to the last kept one is dropped, unless its priority is higher: then it takes its place.

@@ -12,7 +12,7 @@ from timelode.plans import timeline as tl
 from timelode.sources.tables import table
 
 STAGES = {
-    "windows": timeline.transcript_windows,
+    "windows": timeline.media_windows,
     "labels": enrich.chunk_labels,
     "records": enrich.chunk_records,
     "screen_code": code.screen_code_groups,

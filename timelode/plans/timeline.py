@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from timelode.operators.chains import distinct_frames, sessions, spaced
+from timelode.operators.chains import distinct_frames, event_windows, sessions, spaced
 from timelode.operators.nearest import binned, containing, nearest_span, top_within
 from timelode.sources.tables import media_ms, records
 
@@ -56,18 +56,23 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def event_sessions(spark: SparkSession, d: str) -> DataFrame:
-    """Windows over the distinct times of screen text and code: the same greedy rule on points, widened by
-    the margin and clipped to the video."""
-    points = _events(spark, d).select("video_id", F.col("t").alias("s"), F.col("t").alias("e"), F.col("t").cast("string").alias("id"))
-    found = sessions(points, key="video_id", row_id="id", start="s", end="e", min_ms=MIN_WINDOW_MS, max_ms=MAX_WINDOW_MS, pause_ms=PAUSE_MS)
-    lengths = _videos(spark, d, "duration_seconds").select(F.col("id").alias("video_id"), media_ms("duration_seconds").alias("duration_ms"))
-    low = F.greatest(F.lit(0), F.col("start_ms") - MARGIN_MS)
-    high = F.col("end_ms") + MARGIN_MS
+    """Windows over the distinct times of screen text and code: no pause ends them, each starts the margin
+    early, the last of a video has the least duration, all are clipped to the video."""
+    found = event_windows(_events(spark, d), key="video_id", time="t", min_ms=MIN_WINDOW_MS, max_ms=MAX_WINDOW_MS, margin_ms=MARGIN_MS)
+    lengths = _videos(spark, d, "duration_seconds").select(F.col("id").alias("video_id"), media_ms("duration_seconds").alias("duration_ms")).distinct()
     return found.join(lengths, "video_id", "left").select(
-        "video_id", low.alias("start_ms"), F.least(high, F.coalesce("duration_ms", high)).alias("end_ms"), F.col("rows").alias("events")
+        "video_id", "start_ms", F.least("end_ms", F.coalesce("duration_ms", "end_ms")).alias("end_ms"), F.col("rows").alias("events")
     )
 
 
+def media_windows(spark: SparkSession, d: str) -> DataFrame:
+    """The windows of every video: of its transcript, or where it has no segments, of its events."""
+    spoken = transcript_windows(spark, d).select("video_id", "start_ms", "end_ms", F.lit("transcript").alias("source"), F.col("segments").alias("rows"))
+    heard = _segments(spark, d).dropna(subset=["video_id", "id", "s", "e"]).select("video_id").distinct()
+    seen = event_sessions(spark, d).join(heard, "video_id", "left_anti").select("video_id", "start_ms", "end_ms", F.lit("events").alias("source"), F.col("events").alias("rows"))
+    return spoken.unionByName(seen)
+
+
 def _grid(spark: SparkSession, d: str) -> DataFrame:
     lengths = _videos(spark, d, "duration_seconds").select(F.col("id").alias("video_id"), media_ms("duration_seconds").alias("duration_ms")).where("duration_ms > 0").distinct()
     return lengths.select("video_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("duration_ms") - 1, F.lit(GRID_MS).cast("bigint"))).alias("t"))
@@ -194,7 +199,7 @@ def blocks_in_sources(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        transcript_windows, event_sessions, interval_grid, keyword_midpoints, frame_candidates, frames_selected, frame_hash_steps,
+        transcript_windows, event_sessions, media_windows, interval_grid, keyword_midpoints, frame_candidates, frames_selected, frame_hash_steps,
         frame_sweep, match_frames, inspect_segment, inspect_chunk, inspect_frame, inspect_code, block_chunk, blocks_in_sources,
     )
 }

@@ -4,8 +4,8 @@ import numpy as np
 import pytest
 
 from timelode.llm import tagger
-from timelode.llm.personal_information import Training, find_personal_information, mask, mask_personal_information
-from timelode.llm.pii_rules import Rules
+from timelode.llm.personal_information import Decoding, Training, decode, find_personal_information, load_tagger, mask, mask_personal_information, save_tagger, train_tagger
+from timelode.llm.pii_rules import TYPES, Rules
 
 ROOTS, LINKS, VOWELS, ENDS = ("Zal", "Mor", "Quin", "Tes"), ("v", "n", "st"), "aeio", ("rion", "tka", "lde")
 NAMES = [(r + c + v + e, "given") for r in ROOTS for c in LINKS for v in VOWELS[:3] for e in ENDS[:2]]
@@ -36,24 +36,43 @@ def test_grammar(text, expected):
 
 def test_gradients_are_those_of_the_loss():
     rng = np.random.default_rng(0)
-    p = {k: v.astype(np.float64) for k, v in tagger.initial(3, embed=4, hidden=3).items()}
-    x, y = rng.integers(0, tagger.KINDS, (7, 2)), rng.integers(0, 3, (7, 2))
+    p = {k: v.astype(np.float64) for k, v in tagger.initial(7, embed=4, hidden=3).items()}
+    x, y = rng.integers(0, tagger.KINDS * tagger.FLAGS, (9, 2)), np.array([[0, 1, 2, 3, 0, 4, 6, 0, 0], [2, 3, 1, 3, 4, 5, 6, 0, 0]]).T
     _, g = tagger.gradients(p, x, y)
     for k in p:
-        at = tuple(rng.integers(0, n) for n in p[k].shape) if k != "E" else (x[2, 1], 1)
-        old, losses = p[k][at], []
-        for d in (1e-2, -1e-2):
-            p[k][at] = old + d
+        where = {"E": (x[2, 1] // tagger.FLAGS, 1), "T": (2, 3)}.get(k) or tuple(rng.integers(0, n) for n in p[k].shape)
+        old, losses = p[k][where], []
+        for d in (1e-4, -1e-4):
+            p[k][where] = old + d
             losses.append(tagger.gradients(p, x, y)[0])
-        p[k][at] = old
-        assert abs((losses[0] - losses[1]) / 2e-2 - g[k][at]) < 2e-3
+        p[k][where] = old
+        assert abs((losses[0] - losses[1]) / 2e-4 - g[k][where]) < 1e-4, k
 
 
-def test_viterbi_is_the_best_path():
+def test_viterbi_is_the_best_path_that_tears_no_mention():
     rng = np.random.default_rng(1)
-    e, t = rng.standard_normal((5, 1, 3)), rng.standard_normal((3, 3))
-    best = max(np.ndindex(*[3] * 5), key=lambda path: sum(e[i, 0, k] for i, k in enumerate(path)) + sum(t[a, b] for a, b in zip(path, path[1:], strict=False)))
-    assert tuple(tagger.viterbi(e, t)[:, 0]) == best
+    e, t = [rng.standard_normal((n, 4)).astype(np.float32) for n in (6, 1, 4)], rng.standard_normal((4, 4)).astype(np.float32)
+    may = tagger.allowed(4) == 0
+    for scores, path in zip(e, tagger.viterbi(e, t), strict=True):
+        fits = [q for q in np.ndindex(*[4] * len(scores)) if q[0] in (0, 1) and q[-1] in (0, 3) and all(may[a, b] for a, b in zip(q, q[1:], strict=False))]
+        assert tuple(path) == max(fits, key=lambda q: sum(scores[i, k] for i, k in enumerate(q)) + sum(t[a, b] for a, b in zip(q, q[1:], strict=False)))
+
+
+def test_only_surely_empty_text_is_left_out_of_the_search():
+    rng = np.random.default_rng(2)
+    left = 0
+    for _ in range(40):
+        sizes = rng.integers(0, 60, 4)
+        e, t = rng.standard_normal((sizes.sum(), 7)).astype(np.float32), rng.standard_normal((7, 7)).astype(np.float32)
+        e[:, 0] += rng.uniform(2, 5)
+        starts = np.cumsum(sizes) - sizes
+        expected = [tagger.spans_of(q) for q in tagger.viterbi([e[a : a + n] for a, n in zip(starts, sizes, strict=True) if n], t)]
+        stretches, found = tagger.open_stretches(e, t, starts, sizes), {i: [] for i, n in enumerate(sizes) if n}
+        for (i, a, _), q in zip(stretches, tagger.viterbi([e[starts[i] + a : starts[i] + b] for i, a, b in stretches], t), strict=True):
+            found[i] += [(k, a + s, a + z) for k, s, z in tagger.spans_of(q)]
+        assert list(found.values()) == expected
+        left += sizes.sum() - sum(b - a for _, a, b in stretches)
+    assert left > 0
 
 
 def documents(n, seed):
@@ -66,22 +85,68 @@ def documents(n, seed):
     return rows
 
 
-def test_held_out_mentions_and_dirt(spark):
+SMALL = Training(train_documents=400, shards=3, rounds=5, windows=1200, hidden=32, mining=3)
+
+
+@pytest.fixture(scope="module")
+def trained(spark):
+    df = spark.createDataFrame([(r[0], r[1]) for r in documents(500, 7)], "key bigint, text string")
+    return train_tagger(df, NAMES, SMALL)
+
+
+def labelled(rows):
+    rules = Rules(NAMES)
+    return {(i, *m) for i, text, *_ in rows if i is not None and text for m in rules.find(text)}
+
+
+def test_held_out_mentions_and_dirt(spark, trained):
     rows = documents(600, 1)
     rows += [(9001, None, "x", 1), (None, "a@b.example", "x", 1), (9002, "", "x", 1), (9003, "the build cache opens " * 4000 + "write to zalvarion@mail.example now", "x", 1)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, key string, pii_type int")
-    found = find_personal_information(df, NAMES, training=Training(train_documents=300, shards=4, rounds=6, windows=500))
-    got = {tuple(r) for r in found.collect()}
-    rules, expected = Rules(NAMES), set()
-    for i, text, *_ in rows:
-        if i is not None and text:
-            expected |= {(i, *m) for m in rules.find(text)}
-    assert got <= expected and len(got) >= 0.9 * len(expected)
+    found = [tuple(r) for r in find_personal_information(df, NAMES, parameters=trained).collect()]
+    expected = labelled(rows)
+    assert len(set(found)) == len(found)
+    both = set(found) & expected
+    assert len(both) >= 0.9 * len(expected) and len(both) >= 0.9 * len(found)
+    assert any(i == 9003 for i, *_ in both)
+    # A repeated document gives its rows again.
+    twice = find_personal_information(df.where("doc_id < 50").unionAll(df.where("doc_id < 50")), NAMES, parameters=trained)
+    assert sorted(tuple(r) for r in twice.collect()) == sorted([r for r in found if r[0] < 50] * 2)
+
+
+def test_the_tagger_finds_not_the_grammar(spark):
+    """Without training there is next to no true case, whatever the grammar knows."""
+    rows = documents(300, 3)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, key string, pii_type int")
+    found = {tuple(r) for r in find_personal_information(df, NAMES, parameters=tagger.initial(1 + 3 * len(TYPES))).collect()}
+    assert len(found & labelled(rows)) <= 0.02 * len(labelled(rows))
+
+
+def test_windows_of_a_long_text_agree(trained):
+    """Where windows lie doesn't change what is found, nor do the texts beside it."""
+    rows = documents(120, 5)
+    long, rules = " ".join(r[1] for r in rows), Rules(NAMES)
+    whole = list(decode([long], trained, rules, Decoding()))[0]
+    other = list(decode(["x", long, ""], trained, rules, Decoding(width=512, overlap=96, chunk=100)))
+    assert other[0] == [] and other[2] == [] and len(set(whole) & set(other[1])) >= 0.95 * len(whole)
+
+
+def test_parameters_can_be_kept(spark, trained, tmp_path):
+    save_tagger(spark, trained, f"file://{tmp_path}/tagger")
+    again = load_tagger(spark, f"file://{tmp_path}/tagger")
+    assert again.keys() == trained.keys() and all((again[k] == trained[k]).all() for k in trained)
+
+
+def test_training_is_the_same_whatever_the_partitions(spark):
+    df = spark.createDataFrame([(r[0], r[1]) for r in documents(60, 7)], "key bigint, text string")
+    how = Training(train_documents=40, shards=2, rounds=2, windows=40, hidden=8, mining=1)
+    a, b = train_tagger(df, NAMES, how), train_tagger(df.repartition(5), NAMES, how)
+    assert all((a[k] == b[k]).all() for k in a)
 
 
-def test_masking(spark):
+def test_masking(spark, trained):
     assert mask("x a@b.example y", [("email", 2, 13)]) == "x [EMAIL] y"
     df = spark.createDataFrame(documents(60, 2), "doc_id bigint, text string, key string, pii_type int")
-    rows = mask_personal_information(df, NAMES, training=Training(train_documents=60, shards=2, rounds=1, windows=50)).collect()
-    assert len(rows) == 60 and all(r["masked_text"] for r in rows)
+    rows = mask_personal_information(df, NAMES, parameters=trained).collect()
+    assert len(rows) == 60 and all(r["masked_text"] for r in rows) and any("[EMAIL]" in r["masked_text"] for r in rows)
     assert find_personal_information(df.limit(0), NAMES, training=Training(shards=2, rounds=1)).count() == 0

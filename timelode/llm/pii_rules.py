@@ -1,6 +1,6 @@
 """Grammar of personal information: how each kind is written, and where a mention begins and ends.
 
-Used to label the bounded training sample of the tagger and to check and snap what the tagger finds.
+Used only to label the bounded training sample of the tagger.
 """
 
 from __future__ import annotations
@@ -98,6 +98,7 @@ class Names:
             self.known.setdefault(name.lower(), set()).add(kind)
         self.models = {kind: self._learn([n for n, ks in self.known.items() if kind in ks]) for kind in ("given", "family")}
         self.kinds = lru_cache(500_000)(self._kinds)
+        self.flag = lru_cache(500_000)(lambda word: sum({"given": 1, "family": 2}[k] for k in self._kinds(word)))
 
     @staticmethod
     def _learn(names: list[str]):
@@ -201,8 +202,12 @@ class Rules:
         good = all(self.names.kinds(p) or (p[:1].isupper() and p[1:2].islower()) for p in pieces)
         return m.end() if good else None
 
+    def _may_name(self, word: str) -> bool:
+        """Long words of any shape; short ones only as the lexicon's own names, with a capital."""
+        return len(word) >= 5 or (word[:1].isupper() and word.lower() in self.names.known)
+
     def _persons(self, text: str, taken: bytearray) -> list[tuple[int, int]]:
-        words = [(m.start(), m.end(), k) for m in _TOKEN.finditer(text) if len(m[0]) >= 5 and not taken[m.start()] and (k := self.names.kinds(m[0]))]
+        words = [(m.start(), m.end(), k) for m in _TOKEN.finditer(text) if self._may_name(m[0]) and not taken[m.start()] and (k := self.names.kinds(m[0]))]
         out = []
         i = 0
         while i < len(words):

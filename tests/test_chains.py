@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from timelode.operators import chains
 from timelode.operators.chains import distinct_frames, sessions, spaced
 
 
@@ -80,14 +81,55 @@ def test_spaced_across_buckets_matches_brute_force(spark):
     assert run_spaced(spark, rows, 700, bucket_ms=5_000) == brute_spaced(rows, 700)
 
 
-def test_distinct_frames_compare_with_the_last_kept_one(spark):
-    rng = random.Random(6)
-    rows = [("v", f"{i:03d}", i * 4000, rng.choice("aab"), i % 40 == 0) for i in range(900)]
-    df = spark.createDataFrame(rows, "v string, i string, t bigint, h string, fixed boolean")
-    got = distinct_frames(df, key="v", row_id="i", time="t", signature="h", pinned="fixed", differs=lambda a, b: a != b)
-    expected, last = set(), None
-    for _, i, _, h, fixed in rows:
-        if fixed or h != last:
-            expected.add(i)
-            last = h
-    assert {r["i"] for r in got.select(F.col("i")).collect()} == expected
+def brute_distinct(rows):
+    kept = set()
+    for key in {r[0] for r in rows}:
+        last = None
+        for _, i, _, h, light, fixed in sorted((r for r in set(rows) if r[0] == key), key=lambda r: (r[2], r[1])):
+            if last is not None and not fixed and ((h ^ last[0]) % (1 << 64)).bit_count() <= 4 and (light is None or last[1] is None or abs(light - last[1]) <= 10):
+                continue
+            kept.add(i)
+            last = (h, light)
+    return kept
+
+
+def run_distinct(spark, rows, **kw):
+    df = spark.createDataFrame(rows, "v string, i string, t bigint, h bigint, light int, fixed boolean")
+    got = distinct_frames(df, key="v", row_id="i", time="t", hash_="h", brightness="light", pinned="fixed", most_bits=4, most_brightness=10, **kw)
+    return {r["i"] for r in got.select(F.col("i")).collect()}
+
+
+def noisy(rng, n, step, odds):
+    base, rows = 0x0F0F0F0F0F0F0F0F, []
+    for i in range(n):
+        if rng.random() < odds:
+            base ^= 0xFF << rng.randrange(0, 48)
+        rows.append(("v" if i % 7 else "w", f"{i:04d}", i * step, base ^ (1 << rng.randrange(8)), rng.choice([None, 100, 104, 109]), i % 211 == 0 if odds else None))
+    return rows
+
+
+@pytest.mark.parametrize("seed,step,odds", [(6, 40_000, 0.2), (7, 400_000, 0.02), (8, 400_000, 0.003), (9, 1_000_000, 0.0)])
+def test_distinct_frames_match_brute_force_however_still_the_picture(spark, seed, step, odds):
+    rows = noisy(random.Random(seed), 500, step, odds)
+    assert run_distinct(spark, rows) == brute_distinct(rows)
+    assert run_distinct(spark, rows + rows[:40], bucket_ms=2 * step) == brute_distinct(rows)
+
+
+def test_a_still_picture_of_many_hours_hides_nothing_after_it(spark):
+    rows = [("v", f"a{i:02d}", i * 600_000, 7 ^ (i % 2), 90, False) for i in range(24)]
+    rows += [("v", f"b{i}", (24 + 40 * i) * 600_000, -1 << (8 * i), 90, False) for i in range(6)]
+    assert run_distinct(spark, rows) == {"a00", *[f"b{i}" for i in range(6)]} == brute_distinct(rows)
+    assert run_distinct(spark, []) == set()
+
+
+def test_chains_over_blocks_of_blocks_of_buckets(spark, monkeypatch):
+    """Small blocks, so that hops are composed over several levels."""
+    monkeypatch.setattr(chains, "FAN", 3)
+    monkeypatch.setattr(chains, "TOGETHER", 50)
+    rng, rows, t = random.Random(4), [], 0
+    for n in range(700):
+        t += rng.choice([0, 100, 300, 900, 2500, 40_000])
+        rows.append((rng.choice(["hot", "hot", "x"]), f"{n:04d}", t, t + rng.choice([-50, 0, 200, 700, 5000])))
+    assert run_sessions(spark, rows, 2000, 9000, 800, bucket_ms=18_000) == brute_sessions(rows, 2000, 9000, 800)
+    frames = noisy(random.Random(5), 300, 60_000, 0.01)
+    assert run_distinct(spark, frames, bucket_ms=120_000) == brute_distinct(frames)

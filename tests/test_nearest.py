@@ -1,6 +1,6 @@
 import random
 
-from timelode.operators.nearest import nearest_span
+from timelode.operators.nearest import nearest_points, nearest_span
 
 
 def test_nearest_span_matches_brute_force(spark):
@@ -19,3 +19,19 @@ def test_nearest_span_matches_brute_force(spark):
             d, _, sid = min(options)
             expected[pid] = (sid, d)
     assert {r["pid"]: (r["sid"], r["distance_ms"]) for r in got.collect()} == expected
+
+
+def test_nearest_points_match_brute_force_however_far(spark):
+    rng = random.Random(3)
+    points = [(rng.choice("aab"), f"s{n:03d}", rng.choice([rng.randrange(90_000_000), 5_000_000])) for n in range(120)]
+    points += [*points[:10], (None, "x", 1), ("a", None, 1), ("a", "y", None), ("e", "only", 7)]
+    probes = [(rng.choice("abce"), f"p{n:03d}", rng.choice([rng.randrange(99_000_000), 5_000_000])) for n in range(200)] + [("a", "q", None)]
+    got = nearest_points(
+        spark.createDataFrame(probes, "v string, pid string, at bigint"), spark.createDataFrame(points, "v string, sid string, t bigint"),
+        key="v", probe_id="pid", time="at", point_id="sid", n=3,
+    )
+    expected = set()
+    for v, pid, at in probes:
+        near = sorted({(abs(t - at), t, sid) for w, sid, t in points if at is not None and w == v and sid and t is not None})[:3]
+        expected |= {(pid, at, k, sid, d) for k, (d, _, sid) in enumerate(near, 1)}
+    assert {(r["pid"], r["at"], r["place"], r["sid"], r["distance_ms"]) for r in got.collect()} == expected

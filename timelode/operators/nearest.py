@@ -57,3 +57,36 @@ def nearest_span(probes: DataFrame, spans: DataFrame, *, key: str, probe_id: str
 def top_within(df: DataFrame, keys: list[str], order: list[Column], n: int, out: str = "place") -> DataFrame:
     """The first n rows of each key with their place; the rank is limited before its shuffle."""
     return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(out) <= n)
+
+
+def nearest_points(probes: DataFrame, points: DataFrame, *, key: str, probe_id: str, time: str, point_id: str, n: int) -> DataFrame:
+    """probe_id, time, place, point_id, distance_ms: for each probe the first n points (t, bigint ms) of its key, by
+    distance, then time, then id, however far they are.
+
+    On either side of a probe n of them can count, so every time with points carries the first n ids of itself
+    and of the n - 1 times before it; across time buckets these come from one summary row per bucket. Probes and
+    points with a NULL key, id or time are left out; probes of a key without points give no row; repeated rows
+    count once.
+    """
+    p = probes.select(F.col(f"`{key}`").alias("key"), F.col(f"`{probe_id}`").alias("pid"), F.col(f"`{time}`").alias("at")).dropna().distinct()
+    s = points.select(F.col(f"`{key}`").alias("key"), F.col(f"`{point_id}`").alias("sid"), "t").dropna().distinct()
+    marks = top_within(s, ["key", "t"], [F.col("sid")], n).groupBy("key", "t").agg(F.array_sort(F.collect_list("sid")).alias("ids"))
+
+    def side(sign: int) -> DataFrame:
+        own = marks.select("key", (sign * F.col("t")).alias("t"), "ids").withColumn("bucket", F.floor(F.col("t") / BUCKET_MS))
+        near = Window.partitionBy("key", "bucket").orderBy("t").rowsBetween(1 - n, 0)
+        own = own.withColumn("lately", F.collect_list(F.struct("t", "ids")).over(near))
+        before = Window.partitionBy("key").orderBy("bucket").rowsBetween(-n, -1)
+        carry = own.groupBy("key", "bucket").agg(F.max_by("lately", "t").alias("lately")).withColumn("carry", F.flatten(F.collect_list("lately").over(before)))
+        own = own.join(carry.select("key", "bucket", "carry"), ["key", "bucket"]).withColumn("lately", F.concat("carry", "lately"))
+        kind = own.select(F.struct("t", "lately")).schema[0].dataType
+        both = own.select("key", "bucket", "t", F.struct("t", "lately").alias("mark"), F.lit(None).cast("string").alias("pid")).unionByName(
+            p.select("key", F.floor(sign * F.col("at") / BUCKET_MS).alias("bucket"), (sign * F.col("at")).alias("t"), F.lit(None).cast(kind).alias("mark"), F.col("pid").cast("string"))
+        )
+        found = running_max(both.withColumn("late", F.col("pid").isNotNull()), ["key"], "bucket", ["t", "late"], "mark", "last").where("late AND last IS NOT NULL")
+        each = found.select("key", "pid", (sign * F.col("t")).alias("at"), F.explode(F.slice(F.reverse("last.lately"), 1, n)).alias("m"))
+        return each.select("key", "pid", "at", (sign * F.col("m.t")).alias("t"), F.explode("m.ids").alias("sid"))
+
+    pairs = side(1).unionByName(side(-1)).distinct().withColumn("d", F.abs(F.col("t") - F.col("at")))
+    best = top_within(pairs, ["key", "pid", "at"], [F.col("d"), F.col("t"), F.col("sid")], n)
+    return best.select(F.col("pid").alias(probe_id), F.col("at").alias(time), F.col("place").cast("bigint").alias("place"), F.col("sid").alias(point_id), F.col("d").alias("distance_ms"))

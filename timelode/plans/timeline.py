@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timelode.operators.chains import distinct_frames, event_windows, sessions, spaced
-from timelode.operators.nearest import binned, containing, nearest_span, top_within
+from timelode.operators.nearest import binned, containing, nearest_points, nearest_span, top_within
+from timelode.operators.scan import running_max
 from timelode.sources.tables import media_ms, records
 
+# Bounds of windows, pause, margin; distance of the grid, least gap, most frames, reach of a match;
+# words that mark a moment worth a frame; bits and brightness by which two near-duplicates differ at most.
 MIN_WINDOW_MS, MAX_WINDOW_MS, PAUSE_MS, MARGIN_MS = 90_000, 480_000, 8_000, 5_000
 GRID_MS, GAP_MS, MAX_FRAMES, MATCH_MS = 8_000, 2_000, 2_000, 100
-#: Words that mark a moment worth a frame (fixed values).
 KEYWORDS = (
     "codice", "comando", "terminale", "funzione", "classe", "file",
     "configurazione", "errore", "copiamo", "incolliamo", "eseguiamo",
@@ -116,26 +118,29 @@ def hash_distance(a: Column, b: Column) -> Column:
 
 
 def frame_hash_steps(spark: SparkSession, d: str) -> DataFrame:
-    """For each frame the previous one within its time bucket and how their picture hashes differ."""
-    rows = _frames(spark, d, "perceptual_hash").where("perceptual_hash IS NOT NULL AND t IS NOT NULL").withColumn("bucket", F.floor(F.col("t") / 3_600_000))
-    order = Window.partitionBy("video_id", "bucket").orderBy("t", "id")
-    pairs = rows.withColumn("before", F.lag("perceptual_hash").over(order)).where("before IS NOT NULL")
-    return pairs.select("id", hash_distance(F.col("before"), F.col("perceptual_hash")).cast("bigint").alias("bits"))
-
-
-def _differ(a: str, b: str) -> bool:
-    if (int(a[:16], 16) ^ int(b[:16], 16)).bit_count() > HASH_MOST:
-        return True
-    return len(a) >= 18 and len(b) >= 18 and abs(int(a[16:18], 16) - int(b[16:18], 16)) > BRIGHTNESS_MOST
+    """For each frame of a video but the first by how many bits its picture hash differs from the one before."""
+    rows = _frames(spark, d, "perceptual_hash").where("perceptual_hash IS NOT NULL AND t IS NOT NULL AND video_id IS NOT NULL")
+    rows = rows.withColumn("bucket", F.floor(F.col("t") / 3_600_000)).withColumn("me", F.struct("t", "id", "perceptual_hash"))
+    pairs = running_max(rows, ["video_id"], "bucket", ["t", "id"], "me", "before").where("before IS NOT NULL")
+    return pairs.select("id", hash_distance(F.col("before.perceptual_hash"), F.col("perceptual_hash")).cast("bigint").alias("bits"))
 
 
 def frame_sweep(spark: SparkSession, d: str) -> DataFrame:
-    """Frames left after near-duplicates of the last kept frame are dropped; the first frame of each ten
-    minutes always stays."""
-    rows = _frames(spark, d, "perceptual_hash").where("perceptual_hash RLIKE '^[0-9a-fA-F]{16,}$'").withColumn("cell", F.floor(F.col("t") / 600_000))
-    first = Window.partitionBy("video_id", "cell").orderBy("t", "id")
-    rows = rows.withColumn("pinned", F.row_number().over(first) == 1)
-    return distinct_frames(rows, key="video_id", row_id="id", time="t", signature="perceptual_hash", pinned="pinned", differs=_differ).select("video_id", "id", "t")
+    """Frames left after near-duplicates of the last kept frame are dropped. Frames taken for the regular grid
+    always stay; so do frames without a usable picture hash, as nothing shows them to be near-duplicates (they
+    are compared with none)."""
+    frames = _frames(spark, d, "perceptual_hash").where("video_id IS NOT NULL AND t IS NOT NULL")
+    usable = F.coalesce(F.col("perceptual_hash").rlike("^[0-9a-fA-F]{16,}$"), F.lit(False))
+    grid = frame_candidates(spark, d).where("priority = 0").select("video_id", (F.col("t") - MATCH_MS).alias("s"), (F.col("t") + MATCH_MS).alias("e"))
+    on_grid = containing(frames.select("video_id", "id", "t"), grid, key="video_id", time="t").select("video_id", "id", F.lit(True).alias("pinned")).distinct()
+    rows = frames.where(usable).join(on_grid, ["video_id", "id"], "left").select(
+        "video_id", "id", "t", "pinned", F.conv(F.substring("perceptual_hash", 1, 16), 16, -10).cast("bigint").alias("hash"),
+        F.when(F.length("perceptual_hash") >= 18, F.conv(F.substring("perceptual_hash", 17, 2), 16, 10).cast("int")).alias("brightness"),
+    )
+    kept = distinct_frames(
+        rows, key="video_id", row_id="id", time="t", hash_="hash", brightness="brightness", pinned="pinned", most_bits=HASH_MOST, most_brightness=BRIGHTNESS_MOST
+    )
+    return kept.select("video_id", "id", "t").unionByName(frames.where(~usable).select("video_id", "id", "t").distinct())
 
 
 def match_frames(spark: SparkSession, d: str) -> DataFrame:
@@ -171,13 +176,10 @@ def inspect_frame(spark: SparkSession, d: str) -> DataFrame:
 
 
 def inspect_code(spark: SparkSession, d: str) -> DataFrame:
-    """For each chunk the three code blocks nearest to its start, not more than a minute away."""
-    reach = 60_000
-    probes = _chunks(spark, d).select("video_id", F.col("id").alias("chunk_id"), F.col("s").alias("at")).dropna()
-    spans = _blocks(spark, d).where("t IS NOT NULL").select("video_id", F.col("id").alias("block_id"), "t", (F.col("t") - reach).alias("s"), (F.col("t") + reach).alias("e"))
-    pairs = containing(probes, spans, key="video_id", time="at").withColumn("distance_ms", F.abs(F.col("t") - F.col("at")))
-    best = top_within(pairs, ["chunk_id", "at"], [F.col("distance_ms"), F.col("t"), F.col("block_id")], 3)
-    return best.select("chunk_id", F.col("place").cast("bigint").alias("place"), "block_id", "distance_ms")
+    """For each chunk the three code blocks of its video nearest to its start, however far."""
+    probes = _chunks(spark, d).select("video_id", F.col("id").alias("chunk_id"), F.col("s").alias("at"))
+    best = nearest_points(probes, _blocks(spark, d), key="video_id", probe_id="chunk_id", time="at", point_id="id", n=3)
+    return best.select("chunk_id", "place", F.col("id").alias("block_id"), "distance_ms")
 
 
 def block_chunk(spark: SparkSession, d: str) -> DataFrame:
@@ -255,28 +257,46 @@ kept AS (SELECT v AS video_id, arg_max(t, n) AS t, arg_max(p, n) AS priority FRO
 _DIFFERS = f"""(o.pinned OR bit_count(xor(CAST('0x' || substr(o.h, 1, 16) AS UBIGINT), CAST('0x' || substr(s.h, 1, 16) AS UBIGINT))) > {HASH_MOST}
   OR (length(o.h) >= 18 AND length(s.h) >= 18 AND abs(CAST('0x' || substr(o.h, 17, 2) AS BIGINT) - CAST('0x' || substr(s.h, 17, 2) AS BIGINT)) > {BRIGHTNESS_MOST}))"""
 
+_EVENTS = f"""happened AS (
+  SELECT v, t, row_number() OVER (PARTITION BY v ORDER BY t) AS n FROM (
+    SELECT video_id AS v, t FROM fr WHERE ocr_text IS NOT NULL AND t IS NOT NULL UNION SELECT video_id, t FROM bl WHERE t IS NOT NULL)),
+walk AS (
+  SELECT v, n, t, greatest(0, t - {MARGIN_MS}) AS ws, 1 AS w FROM happened WHERE n = 1
+  UNION ALL
+  SELECT h.v, h.n, h.t, CASE WHEN h.t - p.ws > {MAX_WINDOW_MS} AND p.t - p.ws >= {MIN_WINDOW_MS} THEN greatest(0, h.t - {MARGIN_MS}) ELSE p.ws END,
+    CASE WHEN h.t - p.ws > {MAX_WINDOW_MS} AND p.t - p.ws >= {MIN_WINDOW_MS} THEN p.w + 1 ELSE p.w END
+  FROM walk p JOIN happened h ON h.v = p.v AND h.n = p.n + 1),
+spans AS (SELECT v, w, min(ws) AS ws, max(t) AS last, count(*) AS c, w = max(w) OVER (PARTITION BY v) AS final FROM walk GROUP BY v, w),
+events AS (
+  SELECT v, ws AS start_ms, least(greatest(last + {MARGIN_MS}, CASE WHEN final THEN ws + {MIN_WINDOW_MS} ELSE ws END), coalesce(duration_ms, 1::BIGINT << 60)) AS end_ms, c AS events
+  FROM spans LEFT JOIN (SELECT DISTINCT id, duration_ms FROM vi) d ON d.id = v)"""
+
 SQL = {
     "transcript_windows": f"WITH RECURSIVE {SEGMENTS}, src AS (SELECT video_id AS v, id, s, e FROM seg), {_sessions_sql('src')} SELECT v AS video_id, ws AS start_ms, wid AS first_id, we AS end_ms, c AS segments FROM win",
-    "event_sessions": f"WITH RECURSIVE {FRAMES}, {BLOCKS}, {VIDEOS}, src AS (SELECT video_id AS v, CAST(t AS VARCHAR) AS id, t AS s, t AS e FROM (SELECT video_id, t FROM fr WHERE ocr_text IS NOT NULL UNION SELECT video_id, t FROM bl WHERE t IS NOT NULL)), {_sessions_sql('src')} SELECT v AS video_id, greatest(0, ws - {MARGIN_MS}) AS start_ms, least(we + {MARGIN_MS}, coalesce(duration_ms, we + {MARGIN_MS})) AS end_ms, c AS events FROM win LEFT JOIN (SELECT DISTINCT id, duration_ms FROM vi) d ON d.id = v",
+    "event_sessions": f"WITH RECURSIVE {FRAMES}, {BLOCKS}, {VIDEOS}, {_EVENTS} SELECT v AS video_id, start_ms, end_ms, events FROM events",
+    "media_windows": f"""WITH RECURSIVE {SEGMENTS}, {FRAMES}, {BLOCKS}, {VIDEOS}, src AS (SELECT video_id AS v, id, s, e FROM seg), {_sessions_sql('src')}, {_EVENTS}
+SELECT v AS video_id, ws AS start_ms, we AS end_ms, 'transcript' AS source, c AS rows FROM win
+UNION ALL SELECT v, start_ms, end_ms, 'events', events FROM events WHERE v NOT IN (SELECT video_id FROM seg WHERE s IS NOT NULL AND e IS NOT NULL)""",
     "interval_grid": f"WITH {VIDEOS}, {GRID} SELECT * FROM grid",
     "keyword_midpoints": f"WITH {SEGMENTS} SELECT video_id, id, (s + e) // 2 AS t FROM seg WHERE regexp_matches(lower(text), '{'|'.join(KEYWORDS)}')",
     "frame_candidates": f"WITH RECURSIVE {_CANDIDATES} SELECT * FROM kept",
     "frames_selected": f"WITH RECURSIVE {_CANDIDATES} SELECT video_id, t, priority FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY priority DESC, t) AS r FROM kept) WHERE r <= {MAX_FRAMES}",
-    "frame_hash_steps": f"WITH {FRAMES}, st AS (SELECT id, perceptual_hash AS h, lag(perceptual_hash) OVER (PARTITION BY video_id, t // 3600000 ORDER BY t, id) AS b FROM fr WHERE perceptual_hash IS NOT NULL AND t IS NOT NULL) SELECT id, CAST(bit_count(xor(CAST('0x' || substr(h, 1, 16) AS UBIGINT), CAST('0x' || substr(b, 1, 16) AS UBIGINT))) AS BIGINT) AS bits FROM st WHERE b IS NOT NULL",
-    "frame_sweep": f"""WITH RECURSIVE {FRAMES}, o AS (
+    "frame_hash_steps": f"WITH {FRAMES}, st AS (SELECT id, perceptual_hash AS h, lag(perceptual_hash) OVER (PARTITION BY video_id ORDER BY t, id) AS b FROM fr WHERE perceptual_hash IS NOT NULL AND t IS NOT NULL) SELECT id, CAST(bit_count(xor(CAST('0x' || substr(h, 1, 16) AS UBIGINT), CAST('0x' || substr(b, 1, 16) AS UBIGINT))) AS BIGINT) AS bits FROM st WHERE b IS NOT NULL",
+    "frame_sweep": f"""WITH RECURSIVE {_CANDIDATES}, pictures AS (
   SELECT video_id AS v, id, t, perceptual_hash AS h, row_number() OVER (PARTITION BY video_id ORDER BY t, id) AS n,
-    row_number() OVER (PARTITION BY video_id, t // 600000 ORDER BY t, id) = 1 AS pinned
-  FROM fr WHERE regexp_matches(perceptual_hash, '^[0-9a-fA-F]{{16,}}$') AND t IS NOT NULL),
-sweep AS (
-  SELECT v, n, id, t, h, true AS kept FROM o WHERE n = 1
+    EXISTS (SELECT 1 FROM kept WHERE kept.video_id = u.video_id AND kept.priority = 0 AND kept.t BETWEEN u.t - {MATCH_MS} AND u.t + {MATCH_MS}) AS pinned
+  FROM (SELECT DISTINCT id, video_id, t, perceptual_hash FROM fr WHERE regexp_matches(perceptual_hash, '^[0-9a-fA-F]{{16,}}$') AND t IS NOT NULL) u),
+pick AS (
+  SELECT v, n, id, t, h, true AS kept FROM pictures WHERE n = 1
   UNION ALL
-  SELECT o.v, o.n, o.id, o.t, CASE WHEN {_DIFFERS} THEN o.h ELSE s.h END, {_DIFFERS} FROM sweep s JOIN o ON o.v = s.v AND o.n = s.n + 1)
-SELECT v AS video_id, id, t FROM sweep WHERE kept""",
+  SELECT o.v, o.n, o.id, o.t, CASE WHEN {_DIFFERS} THEN o.h ELSE s.h END, {_DIFFERS} FROM pick s JOIN pictures o ON o.v = s.v AND o.n = s.n + 1)
+SELECT v AS video_id, id, t FROM pick WHERE kept
+UNION ALL SELECT DISTINCT video_id, id, t FROM fr WHERE t IS NOT NULL AND NOT coalesce(regexp_matches(perceptual_hash, '^[0-9a-fA-F]{{16,}}$'), false)""",
     "match_frames": f"WITH {VIDEOS}, {FRAMES}, {GRID} SELECT g.video_id, g.t AS want, arg_min(f.id, (abs(f.t - g.t), f.t, f.id)) AS frame_id, arg_min(f.t, (abs(f.t - g.t), f.t, f.id)) AS t FROM grid g JOIN fr f ON f.video_id = g.video_id AND abs(f.t - g.t) <= {MATCH_MS} GROUP BY g.video_id, g.t",
     "inspect_segment": _nearest_sql("SELECT video_id, id AS sid, s, e FROM seg", SEGMENTS, "segment_id"),
     "inspect_chunk": _nearest_sql("SELECT video_id, id AS sid, s, e FROM ch", CHUNKS, "chunk_id"),
     "inspect_frame": _nearest_sql("SELECT video_id, id AS sid, t AS s, t AS e FROM fr", FRAMES, "frame_id"),
-    "inspect_code": f"WITH {CHUNKS}, {BLOCKS}, r AS (SELECT ch.id AS chunk_id, bl.id AS block_id, abs(bl.t - ch.s) AS distance_ms, row_number() OVER (PARTITION BY ch.id, ch.s ORDER BY abs(bl.t - ch.s), bl.t, bl.id) AS place FROM (SELECT DISTINCT id, video_id, s FROM ch) ch JOIN bl ON bl.video_id = ch.video_id AND abs(bl.t - ch.s) <= 60000) SELECT chunk_id, place, block_id, distance_ms FROM r WHERE place <= 3",
+    "inspect_code": f"WITH {CHUNKS}, {BLOCKS}, r AS (SELECT ch.id AS chunk_id, bl.id AS block_id, abs(bl.t - ch.s) AS distance_ms, row_number() OVER (PARTITION BY ch.id, ch.s ORDER BY abs(bl.t - ch.s), bl.t, bl.id) AS place FROM (SELECT DISTINCT id, video_id, s FROM ch) ch JOIN bl ON bl.video_id = ch.video_id WHERE bl.t IS NOT NULL AND ch.s IS NOT NULL) SELECT chunk_id, place, block_id, distance_ms FROM r WHERE place <= 3",
     "block_chunk": f"WITH {BLOCKS}, {CHUNKS} SELECT bl.id AS block_id, min(ch.id) AS chunk_id FROM bl LEFT JOIN ch ON ch.video_id = bl.video_id AND bl.t BETWEEN ch.s AND ch.e WHERE bl.t IS NOT NULL GROUP BY bl.id",
     "blocks_in_sources": f"WITH {BLOCKS}, {CHUNKS} SELECT DISTINCT id AS block_id, video_id, t FROM bl WHERE EXISTS (SELECT 1 FROM ch WHERE ch.video_id = bl.video_id AND bl.t BETWEEN s AND e AND lower(coalesce(transcript, '')) LIKE '%script%')",
 }

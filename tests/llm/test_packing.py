@@ -4,6 +4,8 @@ from collections import defaultdict
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import pytest
+
 from timelode.llm import packing
 from timelode.llm.packing import pack, plan_bins
 
@@ -34,8 +36,14 @@ def run(spark, items, sizes):
     return [tuple(r) for r in df.collect()]
 
 
-def test_all_items_once_and_only_long_ones_split(spark, monkeypatch):
-    monkeypatch.setattr(packing, "RANK_ROWS", 50)
+def test_too_many_containers_or_capacities_are_refused(spark):
+    with pytest.raises(ValueError):
+        run(spark, [(1, 5)], [("s", packing.MAX_CAPACITIES + 1)])
+    with pytest.raises(ValueError):
+        run(spark, [(1, 5)], [(f"s{i}", 10) for i in range(packing.MAX_CONTAINERS + 1)])
+
+
+def test_all_items_once_and_only_long_ones_split(spark):
     rng = random.Random(1)
     items = [(i, rng.choice([3, 3, 3, 7, 20, 64, 65, 200])) for i in range(700)] + [(9000, None), (None, 4), (9001, 0)]
     rows = run(spark, items, [("s", 64), ("l", 128), ("n", None), ("z", 0)])

@@ -127,7 +127,8 @@ def mix(items: DataFrame, targets: DataFrame, total: int | None = None) -> DataF
         raise ValueError(f"more than {MAX_SOURCES} sources")
     wanted = {r[0]: (float(r[1]), int(r[2])) for r in rows}
     usable = items.select("source", "doc_id", "tokens").dropna().where("tokens > 0")
-    sums = usable.where(F.col("source").isin(list(wanted))).groupBy("source").agg(F.sum("tokens").alias("t"), F.count("*").alias("n")).collect()
+    named = F.broadcast(spark.createDataFrame([(s,) for s in sorted(wanted)], "source string"))  # at most MAX_SOURCES rows
+    sums = usable.join(named, "source", "left_semi").groupBy("source").agg(F.sum("tokens").alias("t"), F.count("*").alias("n")).collect()
     weights = source_weights({r["source"]: r["t"] for r in sums}, wanted, total)
     counts = {r["source"]: r["n"] for r in sums if r["source"] in weights}
     if not weights:
@@ -138,12 +139,14 @@ def mix(items: DataFrame, targets: DataFrame, total: int | None = None) -> DataF
     sure = units.where((F.col("p") <= _NEAR) | (F.col("p") >= 1 - _NEAR)).select("source", "doc_id", "tokens", "weight", F.round("p").alias("p"))
     flying, done = units.where((F.col("p") > _NEAR) & (F.col("p") < 1 - _NEAR)), [sure]
     round_, most = 0, max(counts.values())
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
     while True:
         blocks = -(-most // BLOCK)
         n_blocks = F.ceil(F.col("n") / F.lit(BLOCK * (BLOCK // _CONSTRAINTS) ** round_))
         block = F.pmod(F.xxhash64(F.lit(round_), "doc_id", "tokens"), F.greatest(n_blocks, F.lit(1)))
-        flown = flying.select("source", "doc_id", "tokens", "weight", "p", block.alias("block")).groupBy("source", "block").applyInArrow(_fly_block(round_, blocks == 1), _UNITS)
-        flown = checkpointed(flown)
+        # Few bytes but much to compute: stated partitions aren't merged into a few tasks.
+        spread = flying.select("source", "doc_id", "tokens", "weight", "p", block.alias("block")).repartition(parts, "source", "block")
+        flown = checkpointed(spread.groupBy("source", "block").applyInArrow(_fly_block(round_, blocks == 1), _UNITS))
         done.append(flown.where("p = 0 OR p = 1"))
         if blocks == 1:
             break

@@ -18,9 +18,11 @@ from timelode.llm.tokens import VOCABULARY, token_sizes
 from timelode.session import checkpointed
 from timelode.sources.tables import table
 
-MAX_CAPACITY = 1_000_000
-#: Rows of one length that one task ranks.
-RANK_ROWS = 500_000
+#: The plan is made on the driver from at most this many rows: the capacities of all containers together.
+MAX_CAPACITIES = 2_000_000
+MAX_CONTAINERS = 1_000
+#: Parts over which the items of one length are spread to be ranked.
+PARTS = 64
 
 
 def plan_bins(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int]], int]:
@@ -91,11 +93,13 @@ def pack(items: DataFrame, capacities: DataFrame) -> DataFrame:
 
     An item longer than the capacity is cut into full bins (pieces 0, 1, ..) and a rest; no other is split.
     Items with a NULL id, a NULL size or no tokens take no room and are left out, as are containers with a
-    NULL name or capacity below 1; equal rows are items of their own; an empty side gives no row.
+    NULL name or capacity below 1; of a container named twice the smallest capacity counts; equal rows are items of
+    their own; an empty side gives no row.
     """
-    sizes = {r[0]: int(r[1]) for r in capacities.select("container", "capacity_tokens").dropna().where("capacity_tokens >= 1").distinct().collect()}
-    if any(c > MAX_CAPACITY for c in sizes.values()):
-        raise ValueError(f"capacities above {MAX_CAPACITY} aren't planned on the driver")
+    rows = capacities.select("container", "capacity_tokens").dropna().where("capacity_tokens >= 1").groupBy("container").agg(F.min("capacity_tokens")).limit(MAX_CONTAINERS + 1).collect()
+    sizes = {r[0]: int(r[1]) for r in rows}
+    if len(sizes) > MAX_CONTAINERS or sum(sizes.values()) > MAX_CAPACITIES:
+        raise ValueError(f"more than {MAX_CONTAINERS} containers or {MAX_CAPACITIES} tokens of capacity aren't planned on the driver")
     spark = items.sparkSession
     schema = "container string, doc_id bigint, piece bigint, tokens bigint, bin bigint"
     if not sizes:
@@ -122,14 +126,11 @@ def pack(items: DataFrame, capacities: DataFrame) -> DataFrame:
         plans[name] = {int(part[0, 0]): part[:, 1:].T.copy() for part in np.split(rows, edges[1:])} if len(rows) else {}
 
     # Ranks within a length, by parts so that no task ranks all items of a frequent length.
-    parts = max(1, -(-max((r["n"] for r in histogram), default=1) // RANK_ROWS))
-    salted = all_pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)))
+    salted = all_pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(PARTS)))
     before = Window.partitionBy("container", "tokens").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = salted.groupBy("container", "tokens", "part").agg(F.count("*").alias("n")).withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     place = Window.partitionBy("container", "tokens", "part").orderBy("doc_id", "piece")
-    ranked = salted.withColumn("place", F.row_number().over(place) - 1)
-    if parts > 1:
-        ranked = ranked.join(offsets, ["container", "tokens", "part"]).withColumn("place", F.col("place") + F.col("offset"))
+    ranked = salted.withColumn("place", F.row_number().over(place) - 1).join(offsets, ["container", "tokens", "part"]).withColumn("place", F.col("place") + F.col("offset"))
     ranked = ranked.select("container", "doc_id", "piece", "tokens", F.col("place").cast("bigint").alias("rank"))
     return ranked.mapInArrow(_take_slots(plans), schema)
 

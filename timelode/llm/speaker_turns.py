@@ -1,16 +1,14 @@
 """Speech transcripts into clean speaker turns.
 
-A hidden Markov model over speech pieces (the stretches between labels): its states are the participants
-of a video, a piece with a label emits that label with a cost per edit, the words of a run emit with the
-participant's language profile, and a speaker can change only where a label stands. A label that names one
-participant fixes its state, so the model falls apart exactly at such labels; Viterbi decoding is left
-for the chains of runs between them whose label is ambiguous or missing.
+A hidden Markov model over runs of speech, the stretches from one label to the next: its states are the
+participants of the video; a run's label emits with a cost per edit, or at a price where it names somebody else;
+its words emit with the participant's language profile; transitions between participants are estimated per video.
+Every run's speaker is that of the best path. Videos are decoded in time buckets that are summed up and joined.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,8 +22,12 @@ NOISE_BELOW = 0.30
 PAUSE_MS = 60_000
 BUCKET_MS = 3_600_000
 MAX_SPEAKERS = 100_000
-#: Weights of the model: nats per edit of a label, share of the words' log-likelihood, smoothing.
-EDIT_COST, WORD_WEIGHT, SMOOTH = 4.0, 0.25, 0.1
+#: Weights of the model in nats: an edit of a label; a label that names somebody else; the share of the words'
+#: log-likelihood, and the number of words beyond which a run's words don't weigh more together.
+EDIT_COST, SLIP, WORD_WEIGHT, MOST_WORDS = 4.0, 40.0, 0.25, 40
+#: Words of the video's own language mixed into each profile, moves into each participant's transitions, and the
+#: share of a video's participants (but two at least) that may use a word that tells them apart.
+PRIOR, MOVE_PRIOR, TELLING = 20.0, 2.0, 0.25
 
 _CANDS = "array<struct<speaker:string,cost:double>>"
 _CANDS_ARROW = pa.list_(pa.struct([("speaker", pa.string()), ("cost", pa.float64())]))
@@ -76,118 +78,227 @@ def _ord() -> Column:
     return F.struct("start_ms", "id", "piece")
 
 
-_CHAIN = "video_id string, chain struct<start_ms:bigint,id:string,piece:int>, run struct<start_ms:bigint,id:string,piece:int>, speaker string"
-
-
-def _viterbi(key, rows: pd.DataFrame) -> pd.DataFrame:
-    """The likeliest speaker of each run of a chain. rows: run, speaker, emission, before (the known speaker
-    before the chain or None), stay (log-odds that a label repeats the speaker)."""
-    rows = rows.assign(o=[(r["start_ms"], r["id"], r["piece"]) for r in rows["run"]]).sort_values(["o", "speaker"])
-    stay, before = float(rows["stay"].iloc[0]), rows["before"].iloc[0]
-    steps = [(run, g["speaker"].to_numpy(), g["emission"].to_numpy(float)) for run, g in rows.groupby("o", sort=True)]
-    score, back, last = None, [], None
-    for _, names, emission in steps:
-        if score is None:
-            score = emission + stay * (names == before)
-            back.append(None)
-        else:
-            move = score[:, None] + stay * (last[:, None] == names[None, :])
-            back.append(move.argmax(axis=0))
-            score = move.max(axis=0) + emission
-        last = names
-    at, picks = int(np.argmax(score)), []
-    for k in range(len(steps) - 1, -1, -1):
-        picks.append((steps[k][0], steps[k][1][at]))
-        at = int(back[k][at]) if back[k] is not None else at
-    chain = dict(zip(("start_ms", "id", "piece"), key[1].values() if isinstance(key[1], dict) else key[1], strict=True))
-    return pd.DataFrame(
-        {"video_id": [key[0]] * len(picks), "chain": [chain] * len(picks), "run": [dict(zip(("start_ms", "id", "piece"), o, strict=True)) for o, _ in picks], "speaker": [s for _, s in picks]}
-    )
-
-
 def spoken_pieces(segments: DataFrame, speakers: DataFrame) -> DataFrame:
-    """video_id, start_ms, id, piece, text, speaker_id: all speech with a known speaker.
+    """video_id, start_ms, id, piece, text, speaker_id: all speech with the speaker of the likeliest path.
 
     Segments with a NULL id, video, start or text are left out, as is noise (confidence below NOISE_BELOW;
     NULL counts as speech). Speech of a video in which nobody is ever named has no speaker and is left out.
     Equal rows count once; segments that start together are ordered by id; an empty table gives no row.
     """
     pieces = checkpointed(speech_pieces(segments, speakers)).withColumn("bucket", F.floor(F.col("start_ms") / BUCKET_MS)).withColumn("ord", _ord())
-    # The first piece of a video without a label before it opens a run of its own.
+    # A run goes from one label to the next; what precedes a video's first label is a run too.
     labelled = pieces.withColumn("label", F.when(F.col("cands").isNotNull(), F.struct(F.col("ord").alias("run"), "cands")))
     runs = running_max(labelled, ["video_id"], "bucket", ["start_ms", "id", "piece"], "label", "gov", inclusive=True)
-    runs = runs.select("video_id", "bucket", "ord", "start_ms", "id", "piece", "text", "label", "gov.run", "gov.cands")
-    known = runs.where("size(cands) = 1").select("video_id", "start_ms", "id", "piece", "text", F.col("cands")[0]["speaker"].alias("speaker_id"))
-
-    decoded = _decode(runs, pieces)
     none = F.struct(F.lit(-1).cast("bigint").alias("start_ms"), F.lit("").alias("id"), F.lit(-1).alias("piece"))
-    guessed = (
-        runs.where("cands IS NULL OR size(cands) > 1")
-        .withColumn("run", F.coalesce("run", none))
-        .join(decoded, ["video_id", "run"])
-        .select("video_id", "start_ms", "id", "piece", "text", F.col("speaker").alias("speaker_id"))
+    runs = checkpointed(
+        runs.select("video_id", "bucket", "start_ms", "id", "piece", "text", F.col("cands").alias("own"), F.coalesce("gov.run", none).alias("run"), F.col("gov.cands").alias("cands"))
     )
-    return known.unionByName(guessed).where("text <> ''")
+    decided = _decoded(runs)
+    # A run of any length is joined by time buckets.
+    here = runs.select("video_id", "run", "bucket").distinct().join(decided, ["video_id", "run"])
+    return runs.where("text <> ''").join(here, ["video_id", "run", "bucket"]).select("video_id", "start_ms", "id", "piece", "text", F.col("speaker").alias("speaker_id"))
 
 
-def _decode(runs: DataFrame, pieces: DataFrame) -> DataFrame:
-    """video_id, run, speaker for the runs whose label is ambiguous or missing."""
-    none = F.struct(F.lit(-1).cast("bigint").alias("start_ms"), F.lit("").alias("id"), F.lit(-1).alias("piece"))
-    unclear = runs.where("cands IS NULL OR size(cands) > 1").withColumn("run", F.coalesce("run", none))
-    # The last label with one meaning before each label: it starts the chain that the label belongs to.
-    heads = pieces.where("cands IS NOT NULL").withColumn(
-        "sure", F.when(F.size("cands") == 1, F.struct("ord", F.col("cands")[0]["speaker"].alias("speaker")))
-    )
-    heads = running_max(heads, ["video_id"], "bucket", ["start_ms", "id", "piece"], "sure", "prior")
-    sure = heads.where("size(cands) = 1")
-    repeats = sure.groupBy("video_id").agg(
-        F.avg(F.when(F.col("prior.speaker") == F.col("sure.speaker"), 1.0).otherwise(0.0)).alias("same")
-    )
-    participants = sure.select("video_id", F.col("sure.speaker").alias("speaker")).distinct()
+def _evidence(runs: DataFrame, sure: Column, participants: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What the words say: (video_id, run, length, gains) and (video_id, speaker, total).
 
-    open_runs = unclear.where("cands IS NULL").select("video_id", "run").distinct().join(participants, "video_id").withColumn("cost", F.lit(0.0))
-    named = (
-        heads.where("size(cands) > 1")
-        .select("video_id", F.col("ord").alias("run"), "prior", F.explode("cands").alias("c"))
-        .select("video_id", "run", "prior", F.col("c.speaker").alias("speaker"), F.col("c.cost").alias("cost"))
-    )
-    options = named.unionByName(open_runs, allowMissingColumns=True)
-
-    # Language profiles: words by participant, of the videos with something to decide.
+    Language profiles are counts of words in runs under a label with one meaning. Words that many of a video's
+    participants use tell nobody apart and are left out. A run's own words don't count for its own label.
+    """
     word = F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")
-    wanted = unclear.where("text <> ''").select("video_id", "run", word).where("word <> ''").groupBy("video_id", "run", "word").agg(F.count("*").alias("times"))
-    profile = (
-        runs.where("size(cands) = 1 AND text <> ''")
-        .join(unclear.select("video_id").distinct(), "video_id", "left_semi")
-        .select("video_id", F.col("cands")[0]["speaker"].alias("speaker"), word)
-        .where("word <> ''")
-        .groupBy("video_id", "speaker", "word")
-        .agg(F.count("*").alias("n"))
-    )
-    totals = profile.groupBy("video_id", "speaker").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
-    known_words = (
-        wanted.join(profile, ["video_id", "word"])
+    said = runs.where("text <> ''").select("video_id", "run", sure.alias("sure"), word).where("word <> ''").groupBy("video_id", "run", "sure", "word").agg(F.count("*").alias("times"))
+    said = checkpointed(said)
+    profile = said.where("sure IS NOT NULL").groupBy("video_id", F.col("sure").alias("speaker"), "word").agg(F.sum("times").alias("n"))
+    people = participants.groupBy("video_id").agg(F.count("*").alias("people"))
+    uses = profile.groupBy("video_id", "word").agg(F.count("*").alias("users"), F.sum("n").alias("all"))
+    telling = uses.join(people, "video_id").where(F.col("users") <= F.greatest(F.lit(2.0), TELLING * F.col("people"))).select("video_id", "word", "all")
+    volume = telling.groupBy("video_id").agg(F.sum("all").alias("volume"))
+    telling = telling.join(volume, "video_id").select("video_id", "word", (PRIOR * F.col("all") / F.col("volume")).alias("prior"))
+    profile = profile.join(telling, ["video_id", "word"])
+    totals = profile.groupBy("video_id", "speaker").agg(F.sum("n").alias("total"))
+    others = F.col("n") - F.when(F.col("speaker") == F.col("sure"), F.col("times")).otherwise(0)
+    gains = (
+        said.join(profile, ["video_id", "word"])
         .groupBy("video_id", "run", "speaker")
-        .agg(F.sum(F.col("times") * F.log(1 + F.col("n") / SMOOTH)).alias("gain"))
+        .agg(F.sum(F.col("times") * F.log1p(others / F.col("prior"))).alias("gain"))
+        .groupBy("video_id", "run")  # at most one entry per participant
+        .agg(F.collect_list(F.struct("speaker", "gain")).alias("gains"))
     )
-    sizes = wanted.groupBy("video_id", "run").agg(F.sum("times").alias("length"))
-    scored = (
-        options.join(sizes, ["video_id", "run"], "left")
-        .join(totals, ["video_id", "speaker"], "left")
-        .join(known_words, ["video_id", "run", "speaker"], "left")
-        .join(repeats, "video_id", "left")
-        .withColumn("space", F.coalesce("total", F.lit(0)) + SMOOTH * (1000 + F.coalesce("kinds", F.lit(0))))
-        .withColumn(
-            "emission",
-            -EDIT_COST * F.col("cost")
-            - F.when(F.col("total").isNull(), EDIT_COST / 2).otherwise(0.0)
-            + WORD_WEIGHT * (F.coalesce("gain", F.lit(0.0)) + F.coalesce("length", F.lit(0)) * F.log(SMOOTH / F.col("space"))),
-        )
-        .withColumn("same", F.coalesce("same", F.lit(0.5)))
-        .withColumn("stay", F.log((F.col("same") + 0.01) / (1.01 - F.col("same"))))
-        .select("video_id", F.coalesce("prior.ord", none).alias("chain"), "run", "speaker", "emission", F.col("prior.speaker").alias("before"), "stay")
+    lengths = said.join(telling, ["video_id", "word"], "left_semi").groupBy("video_id", "run").agg(F.sum("times").alias("length"))
+    return lengths.join(gains, ["video_id", "run"], "left"), totals
+
+
+_RUN = "struct<start_ms:bigint,id:string,piece:int>"
+_STEP = f"video_id string, bucket bigint, run {_RUN}, speaker string, firsts array<string>, lasts array<string>, scores array<double>"
+_ENDS = "video_id string, bucket bigint, first string, last string"
+
+
+def _decoded(runs: DataFrame) -> DataFrame:
+    """video_id, run, speaker: the best path of the model over the runs of every video.
+
+    Buckets are summed up on their own, from each state of their first run to each of their last (a max-plus
+    product); one summary per bucket is followed along the video; buckets with more than one way are walked
+    again between the states found for their ends.
+    """
+    sure = F.when(F.size("cands") == 1, F.col("cands")[0]["speaker"])
+    heads = runs.where("own IS NOT NULL").select("video_id", "bucket", "start_ms", "id", "piece", "run", "cands", sure.alias("sure"))
+    participants = heads.select("video_id", F.explode("cands.speaker").alias("speaker")).distinct()
+    moves = running_max(heads.withColumn("mark", F.when(F.col("sure").isNotNull(), F.struct("run", "sure"))), ["video_id"], "bucket", ["start_ms", "id", "piece"], "mark", "prior")
+    moves = moves.where("sure IS NOT NULL AND prior IS NOT NULL").groupBy("video_id", F.col("prior.sure").alias("before"), F.col("sure").alias("after")).agg(F.count("*").alias("n"))
+    lengths, totals = _evidence(runs, sure, participants)
+
+    # One row per video, of the size of its participants (squared at most), copied to its buckets.
+    cast = participants.join(totals, ["video_id", "speaker"], "left").groupBy("video_id").agg(F.sort_array(F.collect_list(F.struct("speaker", F.coalesce("total", F.lit(0)).cast("double").alias("total")))).alias("cast"))
+    paths = moves.groupBy("video_id").agg(F.collect_list(F.struct("before", "after", F.col("n").cast("double").alias("n"))).alias("moves"))
+    model = checkpointed(cast.join(paths, "video_id", "left"))
+    opening = runs.where("cands IS NULL").select("video_id", "run").distinct().select("video_id", F.lit(-1).cast("bigint").alias("bucket"), "run", F.lit(None).cast(_CANDS).alias("cands"))
+    steps = heads.select("video_id", "bucket", "run", "cands").unionByName(opening).join(lengths, ["video_id", "run"], "left")
+    steps = checkpointed(steps.select("video_id", "bucket", "run", "cands", "length", "gains"))
+    buckets = steps.select("video_id", "bucket").distinct()
+    models = model.join(buckets, "video_id")
+
+    parts = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def grouped(rows: DataFrame):
+        return rows.repartition(parts, "video_id", "bucket").groupBy("video_id", "bucket")
+
+    summed = grouped(steps.unionByName(models, allowMissingColumns=True)).applyInArrow(_sum_up, _STEP)
+    summed = checkpointed(summed)
+    plain = summed.where("run IS NOT NULL").select("video_id", "run", "speaker")
+    ends = summed.where("run IS NULL").select("video_id", "bucket", "firsts", "lasts", "scores")
+    several = ends.where("size(scores) > 1")
+    open_videos = several.select("video_id").distinct()
+    chosen = (
+        ends.unionByName(model.withColumn("bucket", F.lit(None).cast("bigint")), allowMissingColumns=True)
+        .join(open_videos, "video_id", "left_semi")
+        .groupBy("video_id")
+        .applyInArrow(_choose_ends, _ENDS)
     )
-    return scored.groupBy("video_id", "chain").applyInPandas(_viterbi, _CHAIN).select("video_id", "run", "speaker")
+    again = steps.unionByName(models, allowMissingColumns=True).join(several.select("video_id", "bucket"), ["video_id", "bucket"], "left_semi")
+    again = again.unionByName(chosen, allowMissingColumns=True).join(several.select("video_id", "bucket"), ["video_id", "bucket"], "left_semi")
+    walked = grouped(again).applyInArrow(_walk_between, f"video_id string, run {_RUN}, speaker string")
+    return plain.unionByName(walked)
+
+
+class Model:
+    """The hidden Markov model of one video: its participants, the transitions between them, emissions of runs."""
+
+    def __init__(self, cast: list[dict], moves: list[dict] | None):
+        self.names = [c["speaker"] for c in cast]
+        self.at = {n: k for k, n in enumerate(self.names)}
+        n = len(self.names)
+        counts = np.zeros((n, n))
+        for m in moves or ():
+            counts[self.at[m["before"]], self.at[m["after"]]] = m["n"]
+        self.start = np.log((counts.sum(axis=0) + 0.5) / (counts.sum() + 0.5 * n))
+        self.move = np.log((counts + MOVE_PRIOR * np.exp(self.start)) / (counts.sum(axis=1, keepdims=True) + MOVE_PRIOR))
+        #: A state that another beats by more than twice what transitions can differ is on no best path.
+        low, high = min(self.move.min(), self.start.min()), max(self.move.max(), self.start.max())
+        self.most = 2 * (high - low) + 1e-9
+        self.unseen = np.log(PRIOR / (PRIOR + np.array([c["total"] for c in cast])))
+
+    def states(self, cands: list[dict] | None, length: int | None, gains: list[dict] | None) -> tuple[np.ndarray, np.ndarray]:
+        """The participants that may speak a run, and their emissions: the label's edits, or the price of a label
+        that names somebody else, and the words' likelihood against the video's own language."""
+        e = np.zeros(len(self.names))
+        if cands is not None:
+            e -= SLIP
+            for c in cands:
+                e[self.at[c["speaker"]]] = -EDIT_COST * c["cost"]
+        if length:
+            words = length * self.unseen
+            for g in gains or ():
+                words[self.at[g["speaker"]]] += g["gain"]
+            e += WORD_WEIGHT * min(1.0, MOST_WORDS / length) * words
+        keep = np.nonzero(e >= e.max() - self.most)[0]
+        return keep, e[keep]
+
+    def forward(self, steps: list[tuple[np.ndarray, np.ndarray]], firsts: np.ndarray | None = None):
+        """Best scores from each state of the first step to each of the last, and the way back."""
+        states, e = steps[0]
+        score = np.full((len(states), len(states)), -np.inf)
+        np.fill_diagonal(score, e)
+        if firsts is not None:
+            score = score[np.searchsorted(states, firsts)]
+        back = []
+        for after, e in steps[1:]:
+            ways = score[:, :, None] + self.move[np.ix_(states, after)]
+            back.append(ways.argmax(axis=1))
+            score = ways.max(axis=1) + e
+            states = after
+        return score, back
+
+    @staticmethod
+    def path(steps: list, back: list, first: int, last: int) -> list[int]:
+        """The states of the best way that ends in the last step's state number `last`."""
+        out = [last]
+        for way in reversed(back):
+            out.append(int(way[first, out[-1]]))
+        return [int(states[k]) for (states, _), k in zip(steps, reversed(out), strict=True)]
+
+
+def _opened(table: pa.Table) -> tuple[Model, list[dict], list[tuple[np.ndarray, np.ndarray]]]:
+    rows = table.to_pylist()
+    model = next(Model(r["cast"], r["moves"]) for r in rows if r["cast"] is not None)
+    runs = sorted((r for r in rows if r["run"] is not None), key=lambda r: (r["run"]["start_ms"], r["run"]["id"], r["run"]["piece"]))
+    return model, runs, [model.states(r["cands"], r["length"], r["gains"]) for r in runs]
+
+
+_RUN_ARROW = pa.struct([("start_ms", pa.int64()), ("id", pa.string()), ("piece", pa.int32())])
+_STEP_ARROW = pa.schema(
+    [("video_id", pa.string()), ("bucket", pa.int64()), ("run", _RUN_ARROW), ("speaker", pa.string())]
+    + [("firsts", pa.list_(pa.string())), ("lasts", pa.list_(pa.string())), ("scores", pa.list_(pa.float64()))]
+)
+
+
+def _sum_up(table: pa.Table) -> pa.Table:
+    """The summary of a bucket, and where there is but one way through it, the speakers of its runs."""
+    if not any(c is not None for c in table["cast"].to_pylist()):
+        return _STEP_ARROW.empty_table()  # nobody is named in the video
+    model, runs, steps = _opened(table)
+    score, back = model.forward(steps)
+    key = {"video_id": table["video_id"][0].as_py(), "bucket": table["bucket"][0].as_py()}
+    firsts, lasts = ([model.names[k] for k in steps[i][0]] for i in (0, -1))
+    out = [key | {"firsts": firsts, "lasts": lasts, "scores": score.ravel().tolist()}]
+    if score.size == 1:
+        out += [key | {"run": r["run"], "speaker": model.names[k]} for r, k in zip(runs, model.path(steps, back, 0, 0), strict=True)]
+    return pa.Table.from_pylist(out, _STEP_ARROW)
+
+
+def _choose_ends(table: pa.Table) -> pa.Table:
+    """The states of the best path at both ends of every bucket of a video with more than one way."""
+    rows = table.to_pylist()
+    model = next(Model(r["cast"], r["moves"]) for r in rows if r["cast"] is not None)
+    buckets = sorted((r for r in rows if r["firsts"] is not None), key=lambda r: r["bucket"])
+    score, back, before = None, [], None
+    for r in buckets:
+        firsts, lasts = (np.array([model.at[n] for n in r[c]]) for c in ("firsts", "lasts"))
+        within = np.array(r["scores"]).reshape(len(firsts), len(lasts))
+        if score is None:
+            enter, came = model.start[firsts], None
+        else:
+            ways = score[:, None] + model.move[np.ix_(before, firsts)]
+            enter, came = ways.max(axis=0), ways.argmax(axis=0)
+        ways = enter[:, None] + within
+        back.append((firsts, lasts, came, ways.argmax(axis=0)))
+        score, before = ways.max(axis=0), lasts
+    out, last = [], int(score.argmax())
+    for r, (firsts, lasts, came, entered) in zip(reversed(buckets), reversed(back), strict=True):
+        first = int(entered[last])
+        if len(firsts) * len(lasts) > 1:
+            out.append({"video_id": r["video_id"], "bucket": r["bucket"], "first": model.names[firsts[first]], "last": model.names[lasts[last]]})
+        last = int(came[first]) if came is not None else 0
+    return pa.Table.from_pylist(out, pa.schema([("video_id", pa.string()), ("bucket", pa.int64()), ("first", pa.string()), ("last", pa.string())]))
+
+
+def _walk_between(table: pa.Table) -> pa.Table:
+    """The speakers of a bucket's runs between the states chosen for its ends."""
+    model, runs, steps = _opened(table)
+    ends = next(r for r in table.select(["first", "last"]).to_pylist() if r["first"] is not None)
+    _, back = model.forward(steps, np.array([model.at[ends["first"]]]))
+    path = model.path(steps, back, 0, int(np.searchsorted(steps[-1][0], model.at[ends["last"]])))
+    out = [{"video_id": table["video_id"][0].as_py(), "run": r["run"], "speaker": model.names[k]} for r, k in zip(runs, path, strict=True)]
+    return pa.Table.from_pylist(out, pa.schema([("video_id", pa.string()), ("run", _RUN_ARROW), ("speaker", pa.string())]))
 
 
 def speaker_turns(segments: DataFrame, speakers: DataFrame, *, pause_ms: int = PAUSE_MS) -> DataFrame:

@@ -92,8 +92,27 @@ class Speakers:
         for i, g, f in self.people:
             for w in {g, f}:
                 self.words.setdefault(w, []).append(i)
+        # Names by what is left when a character is taken out: two names one slip apart have an entry in common.
+        self.shorter: dict[str, set[str]] = {}
+        for w in self.words:
+            for x in self._short(w):
+                self.shorter.setdefault(x, set()).add(w)
+        self.initials: dict[str, list[tuple[str, str, str]]] = {}
+        for p in self.people:
+            for c in {p[1][:1], p[2][:1]}:
+                self.initials.setdefault(c, []).append(p)
+        self.given = {i: g for i, g, _ in self.people}
         self.named = lru_cache(200_000)(self._named)
 
+    @staticmethod
+    def _short(word: str) -> set[str]:
+        return {word, *(word[:k] + word[k + 1 :] for k in range(len(word)))}
+
+    def near(self, word: str) -> set[str]:
+        """The names at most one slip away."""
+        found = set().union(*(self.shorter.get(x, ()) for x in self._short(word)))
+        return {w for w in found if distance(word, w, 1) <= 1}
+
     def one(self, word: str) -> list[tuple[str, int]]:
         """A single name, in which one slip is allowed."""
         if word in self.keys:
@@ -102,18 +121,18 @@ class Speakers:
             return [(i, 0) for i in self.words[word]]
         if len(word) < 6:
             return []
-        return [(i, 1) for i, g, f in self.people if distance(word, g, 1) <= 1 or distance(word, f, 1) <= 1]
+        return [(i, 1) for i in sorted({i for w in self.near(word) for i in self.words[w]})]
 
     def two(self, first: str, second: str) -> list[tuple[str, int]]:
         """Given and family name in either order, one of which may be misspelt beyond recognition of its own."""
         if first in TITLES:
             return self.one(second)
         if len(first) == 1:
-            return [(i, d) for i, d in self.one(second) if any(p == i and g[:1] == first for p, g, _ in self.people)]
+            return [(i, d) for i, d in self.one(second) if self.given[i][:1] == first]
         found = []
-        for i, g, f in self.people:
+        for i, g, f in {*self.initials.get(first[:1], ()), *self.initials.get(second[:1], ())}:
             for a, b in ((g, f), (f, g)):
-                if first[:1] != a[:1] and second[:1] != b[:1]:
+                if (first[:1] != a[:1] and second[:1] != b[:1]) or abs(len(first) - len(a)) > 4 or abs(len(second) - len(b)) > 5:
                     continue
                 d = distance(first, a, 4)
                 d += distance(second, b, 5 - d) if d <= 4 else 9

@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from timelode.functions.markdown import to_html, wrapped
 from timelode.functions.media import frame_times, probe_fields, screen_reading, screen_text, speech_confidence
-from timelode.operators.chat import NO_SOURCES, answers, last_turns, listed_sessions, numbered, save_sessions, snapshots
+from timelode.operators.chat import FROM_SOURCES, NO_SOURCES, answers, last_turns, listed_sessions, numbered, save_sessions, snapshots
 from timelode.plans import pipeline
 
 
@@ -27,7 +27,11 @@ def test_logs_and_recognisers(spark):
 
 def test_markdown(spark):
     got = one(spark, "# A & B\n\n- x\n- y\n\npara\nmore\n```\n<b>\n```", "string", to_html)
-    assert got == "<h1>A &amp; B</h1>\n<ul>\n<li>x</li>\n<li>y</li>\n</ul>\n<p>para more</p>\n<pre><code>\n&lt;b&gt;\n</code></pre>"
+    assert got == "<h1>A &amp; B</h1>\n<ul>\n<li>x</li>\n<li>y</li>\n</ul>\n<p>para</p>\n<p>more</p>\n<pre><code>&lt;b&gt;</code></pre>"
+    assert one(spark, "```py\n```\n- a\n```\nx  \n\n```\n####### t #\n```\nopen", "string", to_html) == (
+        "<pre><code></code></pre>\n<ul>\n<li>a</li>\n</ul>\n<pre><code>x\n</code></pre>\n<h6># t #</h6>\n<pre><code>open</code></pre>"
+    )
+    assert one(spark, "", "string", to_html) == "" and one(spark, None, "string", to_html) is None
     assert one(spark, "abcde\n\nf", "string", lambda c: wrapped(c, 2)) == ["ab", "cd", "e", "", "f"]
 
 
@@ -45,7 +49,7 @@ def test_chat(spark):
     assert docs["s"].count('"role"') == 5 and '"messages":[]' in docs["u"]
     sources = spark.createDataFrame([(1, 2, "b  b"), (1, 1, "a"), (1, 9, "z")], "question_id bigint, place bigint, text string")
     told = {r[0]: r[1] for r in answers(spark.createDataFrame([(1,), (2,)], "question_id bigint"), sources).collect()}
-    assert told == {1: "- a [1]\n- b b [2]", 2: NO_SOURCES}
+    assert told == {1: f"{FROM_SOURCES}\n- a [1]\n- b b [2]", 2: NO_SOURCES}
     ids = [r["new_id"] for r in numbered(messages.where("session_id = 's'"), "session_id", ["created_at"], "seg", 0).orderBy("ordinal").collect()]
     assert ids[0] == "s_seg_0000" and ids[-1] == "s_seg_0004"
 

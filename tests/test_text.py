@@ -24,7 +24,8 @@ def test_clock_and_back(spark):
 
 def test_slug(spark):
     assert one(spark, "Perché è così? (2)", tx.slug) == "perche-e-cosi-2"
-    assert one(spark, "!!!", tx.slug) is None
+    assert one(spark, "Žluťoučký kůň", tx.slug) == "zlutoucky-kun" and one(spark, "Čeština ﬁn Søren x²", tx.slug) == "cestina-fin-sren-x2"
+    assert one(spark, "!!!", tx.slug) is None and one(spark, "日本", tx.slug) is None and one(spark, None, tx.slug) is None
 
 
 def test_chat_turns(spark):

@@ -63,9 +63,9 @@ def is_command(c: Column) -> Column:
     return ((bare != F.regexp_replace(c, _EDGE, "")) & (bare != "")) | ((F.size(said) > 0) & starts)
 
 
-def code_kind(c: Column) -> Column:
-    """struct<content_type, language> by ordered rules; `c` is in normal form. Without a parser, Python is
-    known by its keywords only."""
+def code_kind(c: Column, parses: Column | None = None) -> Column:
+    """struct<content_type, language> by ordered rules; `c` is in normal form. Python is known by its keywords, and
+    with `parses` (whether a parser takes the text) also by several lines with its usual signs."""
 
     def kind(content: str, language: str) -> Column:
         return F.struct(F.lit(content).alias("content_type"), F.lit(language).alias("language"))
@@ -78,6 +78,7 @@ def code_kind(c: Column) -> Column:
     paths = (F.size(said) > 0) & F.forall(said, lambda line: line.rlike(FILE_PATH))
     label = (F.size(F.filter(F.split(c, r"[ \t\n]+"), lambda w: w != "")) <= 5) & ~c.contains("\n") & ~c.rlike(r"[{}\[\]();=$`]")
     script = c.rlike(SCRIPT) | c.rlike(SCRIPT_END)
+    parsed = F.lit(False) if parses is None else parses & c.contains("\n") & c.rlike("[=().]")
     return (
         F.when(is_command(c), kind("terminal_command", "bash"))
         .when(json, kind("configuration", "json"))
@@ -85,7 +86,7 @@ def code_kind(c: Column) -> Column:
         .when(c.rlike(DOCKER), kind("configuration", "dockerfile"))
         .when(c.rlike(CSS), kind("source_code", "css"))
         .when(c.rlike(SQL), kind("source_code", "sql"))
-        .when(c.rlike(PYTHON), kind("source_code", "python"))
+        .when(c.rlike(PYTHON) | parsed, kind("source_code", "python"))
         .when(script & c.rlike(TYPED), kind("source_code", "typescript"))
         .when(script, kind("source_code", "javascript"))
         .when(yaml, kind("configuration", "yaml"))

@@ -3,61 +3,47 @@
 from __future__ import annotations
 
 import html
-import re
+import itertools
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_ITEM = re.compile(r"\s*[-*]\s+(.*)")
-_HEAD = re.compile(r"(#{1,6})\s+(.*)")
+def _lines(text: str) -> Iterator[tuple[tuple[str, int], str]]:
+    """Each line with its kind; a code block, its fences included, has one number."""
+    fences = 0
+    for line in map(str.rstrip, text.splitlines()):
+        mark = line.startswith("```")
+        fences += mark
+        if mark or fences % 2:
+            yield ("code", (fences + 1) // 2), line
+        elif not line:
+            yield ("blank", 0), line
+        else:
+            yield ("heading" if line.startswith("#") else "item" if line.startswith("- ") else "text", 0), line
 
 
 def _html(text: str | None) -> str | None:
     if text is None:
         return None
-    out, in_list, in_code, paragraph = [], False, False, []
-
-    def close() -> None:
-        nonlocal in_list, paragraph
-        if paragraph:
-            out.append(f"<p>{' '.join(paragraph)}</p>")
-            paragraph = []
-        if in_list:
-            out.append("</ul>")
-            in_list = False
-
-    for line in text.split("\n"):
-        if line.strip().startswith("```"):
-            close()
-            out.append("</code></pre>" if in_code else "<pre><code>")
-            in_code = not in_code
-        elif in_code:
-            out.append(html.escape(line))
-        elif not line.strip():
-            close()
-        elif m := _HEAD.match(line):
-            close()
-            out.append(f"<h{len(m[1])}>{html.escape(m[2].strip())}</h{len(m[1])}>")
-        elif m := _ITEM.fullmatch(line):
-            if not in_list:
-                close()
-                out.append("<ul>")
-                in_list = True
-            out.append(f"<li>{html.escape(m[1].strip())}</li>")
-        else:
-            if in_list:
-                close()
-            paragraph.append(html.escape(line.strip()))
-    close()
-    if in_code:
-        out.append("</code></pre>")
+    out: list[str] = []
+    for (kind, _), group in itertools.groupby(_lines(text), key=lambda x: x[0]):
+        lines = [line for _, line in group]
+        if kind == "code":
+            out.append(f"<pre><code>{html.escape(chr(10).join(x for x in lines if not x.startswith('```')))}</code></pre>")
+        elif kind == "item":
+            out += ["<ul>", *(f"<li>{html.escape(x[2:])}</li>" for x in lines), "</ul>"]
+        elif kind == "text":
+            out += [f"<p>{html.escape(x)}</p>" for x in lines]
+        elif kind == "heading":
+            levels = [min(6, len(x) - len(x.lstrip("#"))) for x in lines]
+            out += [f"<h{n}>{html.escape(x[n:].strip())}</h{n}>" for n, x in zip(levels, lines, strict=True)]
     return "\n".join(out)
 
 
 def to_html(text: Column) -> Column:
-    """HTML of a Markdown text: headings, lists, code fences and paragraphs, all text escaped."""
+    """HTML of a Markdown text: headings, lists, code between fences, a paragraph per line, all text escaped."""
 
     @F.pandas_udf("string")
     def convert(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,8 +12,6 @@ from pyspark.sql import functions as F
 WS = r"[ \t\n\r\f\x0b\x{a0}\x{85}]"
 #: Tokens of the hashing embedding and of the claim check (fixed values).
 TOKEN = r"[A-Za-zÀ-ÖØ-öø-ÿ0-9_./:@#-]+"
-#: Accented Latin letters and their base letters, for slugs (fixed values).
-ACCENTS = ("àáâãäåèéêëìíîïòóôõöùúûüýÿñç", "aaaaaaeeeeiiiiooooouuuuyync")
 
 
 def strip(c: Column) -> Column:
@@ -44,11 +45,22 @@ def claim_tokens(c: Column) -> Column:
 
 
 def slug(c: Column) -> Column:
-    """Lower-case ASCII letters and digits joined by hyphens; NULL where nothing is left."""
-    plain = F.translate(F.lower(c), *ACCENTS)
+    """Lower-case ASCII letters and digits joined by hyphens: characters are decomposed, what isn't ASCII then is
+    dropped. NULL where nothing is left."""
+    plain = F.lower(F.when(c.rlike(r"[^\x00-\x7f]"), _ascii(c)).otherwise(c))
     return F.nullif(F.regexp_replace(F.regexp_replace(plain, "[^a-z0-9]+", "-"), "^-+|-+$", ""), F.lit(""))
 
 
+def _ascii(c: Column) -> Column:
+    """Compatibility decomposition, for which Spark has no function."""
+
+    @F.pandas_udf("string")
+    def plain(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: None if x is None else unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode())
+
+    return plain(c)
+
+
 def clock(seconds: Column) -> Column:
     """HH:MM:SS of a time in seconds, rounded half to even, not below zero."""
     whole = F.greatest(F.lit(0), F.rint(seconds).cast("bigint"))

@@ -46,9 +46,40 @@ def embed_blake2b(text: Column, dimensions: int = DIMENSIONS) -> Column:
 
 def embed_sha(df: DataFrame, row_id: str, text: str, dimensions: int = DIMENSIONS) -> DataFrame:
     """row_id, bucket, weight: the same idea with SHA-256 in built-in functions, one row per bucket that
-    isn't empty, before scaling. Texts without tokens give no row."""
-    words = df.select(F.col(row_id), F.explode(tokens(F.col(text))).alias("token")).groupBy(row_id, "token").agg(F.count("*").alias("n"))
-    digest = F.sha2("token", 256)
-    bucket = F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint"), F.lit(dimensions))
-    sign = F.when(F.pmod(F.conv(F.substring(digest, 9, 2), 16, 10).cast("bigint"), F.lit(2)) == 1, F.col("n")).otherwise(-F.col("n"))
-    return words.select(row_id, bucket.alias("bucket"), sign.alias("w")).groupBy(row_id, "bucket").agg(F.sum("w").alias("weight")).where("weight <> 0")
+    isn't empty, before scaling. Texts without tokens give no row. The tokens of a text are combined before
+    the one shuffle."""
+    digest = F.transform(tokens(F.col(text)), lambda t: F.sha2(t, 256))
+    signed = F.transform(
+        digest,
+        lambda x: F.struct(
+            F.pmod(F.conv(F.substring(x, 1, 8), 16, 10).cast("bigint"), F.lit(dimensions)).alias("bucket"),
+            F.when(F.pmod(F.conv(F.substring(x, 9, 2), 16, 10).cast("bigint"), F.lit(2)) == 1, F.lit(1)).otherwise(F.lit(-1)).cast("bigint").alias("sign"),
+        ),
+    )
+    each = df.select(F.col(row_id), F.explode(signed).alias("x"))
+    return each.groupBy(row_id, F.col("x.bucket").alias("bucket")).agg(F.sum("x.sign").alias("weight")).where("weight <> 0")
+
+
+def embed_sha_dense(text: Column, dimensions: int = DIMENSIONS) -> Column:
+    """array<double>: the weights of `embed_sha` as one vector before scaling. NULL for NULL."""
+    pattern = re.compile(TOKEN)
+
+    @F.pandas_udf("array<double>")
+    def embed(texts: pd.Series) -> pd.Series:
+        cache: dict[str, tuple[int, float]] = {}
+
+        def place(token: str) -> tuple[int, float]:
+            if token not in cache:
+                digest = hashlib.sha256(token.encode("utf-8", "surrogatepass")).digest()
+                cache[token] = int.from_bytes(digest[:4], "big") % dimensions, 1.0 if digest[4] & 1 else -1.0
+            return cache[token]
+
+        def one(text: str | None):
+            if text is None:
+                return None
+            found = [place(t.lower()) for t in pattern.findall(text)]
+            return np.bincount([b for b, _ in found], [w for _, w in found], minlength=dimensions) if found else np.zeros(dimensions)
+
+        return texts.map(one)
+
+    return embed(text)

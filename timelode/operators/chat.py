@@ -9,7 +9,9 @@ from timelode.functions.text import truncated
 from timelode.operators.maintenance import upsert
 from timelode.operators.nearest import top_within
 
-NO_SOURCES = "Non ho trovato fonti sufficienti per rispondere."
+# What is said without sources, and before the excerpts.
+NO_SOURCES = "Non ho trovato informazioni sufficienti nelle fonti del progetto per rispondere."
+FROM_SOURCES = "Risposta basata solo sulle fonti recuperate:"
 
 
 def last_turns(messages: DataFrame, n: int = 8) -> DataFrame:
@@ -20,12 +22,12 @@ def last_turns(messages: DataFrame, n: int = 8) -> DataFrame:
 
 
 def answers(questions: DataFrame, sources: DataFrame, *, most: int = 4, chars: int = 300) -> DataFrame:
-    """question_id, answer: excerpts of the first sources (question_id, place, text) as a cited list, a fixed
-    refusal for a question without sources."""
+    """question_id, answer: excerpts of the first sources (question_id, place, text) as a cited list under a fixed
+    line, a fixed refusal for a question without sources."""
     line = F.concat(F.lit("- "), truncated(F.col("text"), chars), F.lit(" ["), F.col("place").cast("string"), F.lit("]"))
     told = sources.where(F.col("place") <= most).groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))).alias("lines"))
     joined = questions.select("question_id").distinct().join(told, "question_id", "left")
-    return joined.select("question_id", F.coalesce(F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), F.lit(NO_SOURCES)).alias("answer"))
+    return joined.select("question_id", F.coalesce(F.concat(F.lit(FROM_SOURCES + "\n"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n")), F.lit(NO_SOURCES)).alias("answer"))
 
 
 def save_sessions(sessions: DataFrame, new: DataFrame) -> DataFrame:

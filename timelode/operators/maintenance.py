@@ -35,16 +35,19 @@ def changes(old: DataFrame, new: DataFrame, *, key: str, value: str) -> DataFram
     return both.select(F.col("k").alias(key), change.alias("change")).where("change IS NOT NULL")
 
 
-def row_mark(*columns: str) -> Column:
-    """A number from the first 32 bits of the SHA-256 of a row, NULLs told from empty texts."""
+def row_marks(*columns: str) -> tuple[Column, Column]:
+    """Two numbers of 64 bits from the SHA-256 of a row, NULLs told from empty texts."""
     parts = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in columns]
-    return F.conv(F.substring(F.sha2(F.concat_ws("\u0001", *parts), 256), 1, 8), 16, 10).cast("bigint")
+    digest = F.sha2(F.concat_ws("\u0001", *parts), 256)
+    first, second = (F.conv(F.substring(digest, at, 16), 16, 10).cast("decimal(28,0)") for at in (1, 17))
+    return first, second
 
 
 def signatures(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """key, rows, mark: a signature of each key's set of rows. Sums of row hashes need no order and combine
-    before the shuffle, so the rows of a key are never gathered."""
-    return df.groupBy(key).agg(F.count("*").alias("rows"), F.sum(row_mark(*columns)).alias("mark"))
+    before the shuffle, so the rows of a key are never gathered; two sums of 64-bit hashes tell billions apart."""
+    sums = [F.sum(mark).cast("string") for mark in row_marks(*columns)]
+    return df.groupBy(key).agg(F.count("*").alias("rows"), F.concat_ws("-", *sums).alias("mark"))
 
 
 def update_columns(old: DataFrame, updates: DataFrame, *, keys: list[str], columns: list[str]) -> DataFrame:

@@ -31,3 +31,12 @@ def running_max(
         .withColumn(out, F.greatest("__local", "__carry"))
         .drop("__local", "__carry")
     )
+
+
+def row_numbers(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str], out: str) -> DataFrame:
+    """Adds `out`: the place, from 1, of each row among the rows of its keys in the order (bucket, *order), as the
+    place in its bucket plus the rows of the buckets before. Keys and bucket must not be NULL."""
+    before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    counts = df.groupBy(*keys, bucket).agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    place = F.row_number().over(Window.partitionBy(*keys, bucket).orderBy(*order))
+    return df.withColumn("__place", place).join(counts.select(*keys, bucket, "__before"), [*keys, bucket]).withColumn(out, F.col("__place") + F.col("__before")).drop("__place", "__before")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timelode.functions import code_rules as cr
+from timelode.operators.scan import row_numbers
 from timelode.plans import timeline as tl
 from timelode.sources.tables import table
 
@@ -37,12 +38,15 @@ def _screen_code(spark: SparkSession, d: str) -> DataFrame:
 
 
 def screen_code_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Equal code seen in several frames of a video as one group with its times and best confidence."""
+    """Equal code seen in several frames of a video as one group with its times, first frame and best confidence,
+    numbered per video by (first time, hash, kind, language). Frames without a video or time are left out."""
     groups = (
-        _screen_code(spark, d)
+        _screen_code(spark, d).where("video_id IS NOT NULL AND t IS NOT NULL")
         .groupBy("video_id", "content_type", "language", "hash")
-        .agg(F.countDistinct("id").alias("frames"), F.min("t").alias("first_ms"), F.max("t").alias("last_ms"), F.max("ocr_confidence").alias("confidence"))
+        .agg(F.countDistinct("id").alias("frames"), F.min("t").alias("first_ms"), F.max("t").alias("last_ms"), F.max("ocr_confidence").alias("confidence"), F.min(F.struct("t", "id")).alias("seen"))
     )
+    groups = groups.withColumn("bucket", F.floor(F.col("first_ms") / 3_600_000)).withColumn("first_frame", F.col("seen.id")).drop("seen")
+    groups = row_numbers(groups, ["video_id"], "bucket", ["first_ms", "hash", "content_type", "language"], "ordinal").drop("bucket")
     return groups.withColumn("last_ms", F.when(F.col("frames") > 1, F.col("last_ms"))).withColumn(
         "needs_review", F.coalesce(F.col("confidence") < cr.MIN_CONFIDENCE, F.lit(False))
     )
@@ -77,6 +81,65 @@ def stale_hashes(spark: SparkSession, d: str) -> DataFrame:
     return rows.where("NOT normalized_hash <=> expected")
 
 
+def _read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What parsers say of each text as JSON, Python and YAML: an error, or empty where it is valid."""
+    import ast
+    import json
+
+    try:
+        import yaml
+    except ImportError:  # texts in YAML aren't judged then
+        yaml = None
+
+    def json_error(text: str) -> str:
+        try:
+            json.loads(text)
+        except (ValueError, RecursionError) as e:
+            return str(e) or "invalid"
+        return ""
+
+    def python_error(text: str) -> str:
+        try:
+            ast.parse(text)
+        except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
+            return str(e) or "invalid"
+        return ""
+
+    def yaml_error(text: str) -> str | None:
+        if yaml is None:
+            return None
+        try:
+            loaded = yaml.safe_load(text)
+        except (yaml.YAMLError, ValueError, RecursionError) as e:
+            return str(e) or "invalid"
+        return "" if isinstance(loaded, (dict, list)) else "only a scalar"
+
+    for part in parts:
+        text = part["normal"]
+        yield part.assign(json=text.map(json_error), python=text.map(python_error), yaml=text.map(yaml_error))
+
+
+def code_reviews(spark: SparkSession, d: str) -> DataFrame:
+    """Each code block's kind, what its parser says, whether it counts as verified, and the reasons to look at it
+    again: low confidence, invalid, not verified. Kinds without a parser are verified by rule or not at all."""
+    rows = tl._blocks(spark, d, "code", "confidence").select("id", "confidence", cr.normal_code(F.col("code")).alias("normal")).where("normal <> ''").distinct()
+    read = rows.mapInPandas(_read, "id string, confidence double, normal string, json string, python string, yaml string")
+    read = read.withColumn("k", cr.code_kind(F.col("normal"), F.col("python") == "")).select("id", "confidence", "k.*", "json", "python", "yaml")
+    error = F.when(F.col("language") == "json", F.col("json")).when(F.col("language") == "yaml", F.col("yaml")).when(F.col("language") == "python", F.col("python"))
+    status = F.when(error == "", "valid").when(error.isNotNull(), "invalid").otherwise("not_applicable")
+    ruled = F.col("content_type").isin("terminal_command", "file_path", "error_message")
+    judged = read.select("id", "content_type", "language", "confidence", status.alias("validation"), F.nullif(error, F.lit("")).alias("error"), (F.coalesce(error == "", F.lit(False)) | ruled).alias("verified"))
+    reasons = F.filter(
+        F.array(
+            F.when(F.col("confidence") < cr.MIN_CONFIDENCE, F.lit("confidence")),
+            F.when(F.col("validation") == "invalid", F.lit("validation")),
+            F.when(~F.col("verified"), F.lit("unverified")),
+        ),
+        lambda x: x.isNotNull(),
+    )
+    return judged.select("id", "content_type", "language", "validation", "error", "verified", F.when(F.col("content_type").isin(*NOT_CODE), F.array().cast("array<string>")).otherwise(reasons).alias("reasons"))
+
+
 def line_blocks(spark: SparkSession, d: str) -> DataFrame:
     """Documents cut into blocks of 80 lines, blocks without text skipped, with their line range."""
     docs = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.split("text", "\n").alias("lines"))
@@ -111,7 +174,7 @@ def _symbols(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 QUERIES = {
     f.__name__: f
-    for f in (code_normal, code_kinds, screen_code_groups, frame_code_flags, code_classes, analysis_gaps, stale_hashes, line_blocks, python_symbols)
+    for f in (code_normal, code_kinds, screen_code_groups, frame_code_flags, code_classes, code_reviews, analysis_gaps, stale_hashes, line_blocks, python_symbols)
 }
 
 
@@ -178,7 +241,7 @@ sc AS (SELECT *, split_part(kind, '/', 1) AS content_type, split_part(kind, '/',
 SQL = {
     "code_normal": f"WITH {tl.BLOCKS} SELECT DISTINCT id, sha256({sql_normal('code')}) AS normalized_hash, length({sql_normal('code')}) AS chars FROM bl",
     "code_kinds": f"WITH {tl.BLOCKS}, {_KINDS}, k AS (SELECT id, {sql_kind('c')} AS kind FROM b) SELECT id, split_part(kind, '/', 1) AS content_type, split_part(kind, '/', 2) AS language FROM k",
-    "screen_code_groups": f"WITH {_SCREEN} SELECT video_id, content_type, language, hash, count(DISTINCT id) AS frames, min(t) AS first_ms, CASE WHEN count(DISTINCT id) > 1 THEN max(t) END AS last_ms, max(ocr_confidence) AS confidence, coalesce(max(ocr_confidence) < {cr.MIN_CONFIDENCE}, false) AS needs_review FROM sc GROUP BY ALL",
+    "screen_code_groups": f"WITH {_SCREEN} SELECT video_id, content_type, language, hash, count(DISTINCT id) AS frames, min(t) AS first_ms, CASE WHEN count(DISTINCT id) > 1 THEN max(t) END AS last_ms, max(ocr_confidence) AS confidence, coalesce(max(ocr_confidence) < {cr.MIN_CONFIDENCE}, false) AS needs_review, arg_min(id, (t, id)) AS first_frame, row_number() OVER (PARTITION BY video_id ORDER BY min(t), hash, content_type, language) AS ordinal FROM sc WHERE video_id IS NOT NULL AND t IS NOT NULL GROUP BY video_id, content_type, language, hash",
     "frame_code_flags": f"WITH {_SCREEN} SELECT DISTINCT fr.id, s.id IS NOT NULL AS contains_code_now, (s.id IS NOT NULL) <> coalesce(fr.contains_code, false) AS changed FROM fr LEFT JOIN (SELECT DISTINCT id FROM sc) s ON s.id = fr.id",
     "code_classes": f"WITH {tl.BLOCKS}, c AS (SELECT DISTINCT id, video_id, CASE WHEN verified THEN 'verified' WHEN confidence >= 0.9 THEN 'high_confidence' WHEN confidence >= 0.8 THEN 'ocr_extracted' ELSE 'needs_review' END AS class FROM bl) SELECT video_id, class, count(*) AS blocks FROM c GROUP BY ALL",
     "analysis_gaps": f"WITH {tl.BLOCKS} SELECT coalesce(b.id, a.code_block_id) AS code_block_id, b.id IS NOT NULL AS has_block, a.code_block_id IS NOT NULL AS has_analysis FROM (SELECT DISTINCT id FROM bl) b FULL OUTER JOIN (SELECT DISTINCT code_block_id FROM code_analyses) a ON a.code_block_id = b.id WHERE b.id IS NULL OR a.code_block_id IS NULL",

@@ -111,7 +111,8 @@ QUERIES = {
 }
 
 _N = "(SELECT video_id, count(DISTINCT id) AS n FROM {0} GROUP BY 1)"
-_MARK = "CAST(sum(CAST('0x' || substr(sha256('=' || id || chr(1) || coalesce('=' || CAST(s AS VARCHAR), '-') || chr(1) || coalesce('=' || text, '-')), 1, 8) AS BIGINT)) AS BIGINT)"
+_HASH = "sha256('=' || id || chr(1) || coalesce('=' || CAST(s AS VARCHAR), '-') || chr(1) || coalesce('=' || text, '-'))"
+_MARK = " || '-' || ".join(f"CAST(sum(CAST('0x' || substr({_HASH}, {at}, 16) AS UBIGINT)) AS VARCHAR)" for at in (1, 17))
 _VI = "v AS (SELECT DISTINCT id, filename, title, duration_seconds, file_hash, path, created_at, file_fingerprint FROM videos)"
 
 
@@ -119,7 +120,7 @@ def _sig(name: str, where: str = "true") -> str:
     return f"{name} AS (SELECT video_id, count(*) AS rows, {_MARK} AS mark FROM (SELECT DISTINCT id, video_id, CAST(round(start_seconds * 1000) AS BIGINT) AS s, text FROM transcript_segments WHERE {where}) GROUP BY 1)"
 
 
-_SLUG = "nullif(regexp_replace(regexp_replace(translate(lower(coalesce(title, filename)), 'àáâãäåèéêëìíîïòóôõöùúûüýÿñç', 'aaaaaaeeeeiiiiooooouuuuyync'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), '')"
+_SLUG = "nullif(regexp_replace(regexp_replace(lower(regexp_replace(strip_accents(coalesce(title, filename)), '[^\\x00-\\x7f]', '', 'g')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), '')"
 
 SQL = {
     "video_status": f"WITH {_VI} SELECT v.id AS video_id, coalesce(a.n, 0) AS transcript_segments, coalesce(b.n, 0) AS frames, coalesce(c.n, 0) AS code_blocks, coalesce(e.n, 0) AS chunks FROM (SELECT DISTINCT id FROM v) v LEFT JOIN {_N.format('transcript_segments')} a ON a.video_id = v.id LEFT JOIN {_N.format('frames')} b ON b.video_id = v.id LEFT JOIN {_N.format('code_blocks')} c ON c.video_id = v.id LEFT JOIN {_N.format('chunks')} e ON e.video_id = v.id",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import zipfile
@@ -30,12 +31,15 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "12
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a temporary one only where none is set (tests)."""
+    """The shared folder named in spark.checkpoint.dir; a temporary one only where none is set on a single machine
+    (tests). A cluster must name one: a folder of one machine would be lost with it."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(named)
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -62,4 +66,5 @@ def ship_package(spark: SparkSession) -> None:
             for path in sorted(root.rglob("*.py")):
                 archive.write(path, path.relative_to(root.parent))
     spark.sparkContext.addPyFile(out.name)
+    atexit.register(Path(out.name).unlink, missing_ok=True)
     _shipped.add(app)

@@ -54,9 +54,24 @@ def test_chat(spark):
     assert ids[0] == "s_seg_0000" and ids[-1] == "s_seg_0004"
 
 
-def test_pipeline_writes_every_stage(spark, tmp_path):
-    rows = {r["stage"]: r["rows"] for r in pipeline.run(spark, "/root/testdata/sf0.001", str(tmp_path)).collect()}
-    assert set(rows) == set(pipeline.STAGES) and rows["records"] > 0
+def test_pipeline_writes_and_skips_and_reports(spark, tmp_path):
+    d, out = "/root/testdata/sf0.001", str(tmp_path)
+    some = {n: pipeline.STAGES[n] for n in ("chunks", "records", "index", "sections", "outline", "status")}
+    first = {r["stage"]: r for r in pipeline.run(spark, d, out, some).collect()}
+    assert {r["status"] for r in first.values()} == {"written"}, first
+    built = {r["id"] for r in spark.read.parquet(f"{out}/chunks.parquet").collect()}
+    records = spark.read.parquet(f"{out}/records.parquet")
+    assert {r["chunk_id"] for r in records.select("chunk_id").distinct().collect()} == built  # records of the chunks just built
+    assert first["index"]["rows"] == first["records"]["rows"] == records.count()
+    again = {r["stage"]: r for r in pipeline.run(spark, d, out, some).collect()}
+    assert {r["status"] for r in again.values()} == {"skipped"} and {n: r["rows"] for n, r in again.items()} == {n: r["rows"] for n, r in first.items()}
+
+    def broken(spark, d):
+        raise ValueError("no space")
+
+    some["records"] = pipeline.Stage(("chunks",), broken)
+    last = {r["stage"]: (r["status"], r["detail"]) for r in pipeline.run(spark, d, out, some).collect()}
+    assert last["records"] == ("failed", "no space") and last["index"] == ("blocked", "records") and last["outline"] == ("skipped", None)
 
 
 def test_pages_and_validity(spark):

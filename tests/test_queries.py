@@ -6,10 +6,10 @@ import os
 import duckdb
 import pytest
 
-from timelode.plans import code, documents, enrich, intervals, maintenance, pipeline, retrieval, timeline
+from timelode.plans import chunking, code, documents, enrich, intervals, maintenance, pipeline, retrieval, timeline
 
 DATA = os.environ.get("TIMELODE_TEST_DATA", "/root/testdata/sf0.001")
-MODULES = (intervals, timeline, enrich, code, retrieval, documents, maintenance, pipeline)
+MODULES = (intervals, timeline, enrich, chunking, code, retrieval, documents, maintenance, pipeline)
 QUERIES = {n: q for m in MODULES for n, q in m.QUERIES.items()}
 SQL = {n: q for m in MODULES for n, q in m.SQL.items()}
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")

@@ -70,9 +70,13 @@ def event_sessions(spark: SparkSession, d: str) -> DataFrame:
 def media_windows(spark: SparkSession, d: str) -> DataFrame:
     """The windows of every video: of its transcript, or where it has no segments, of its events."""
     spoken = transcript_windows(spark, d).select("video_id", "start_ms", "end_ms", F.lit("transcript").alias("source"), F.col("segments").alias("rows"))
+    return spoken.unionByName(unheard_windows(spark, d).select("video_id", "start_ms", "end_ms", F.lit("events").alias("source"), F.col("events").alias("rows")))
+
+
+def unheard_windows(spark: SparkSession, d: str) -> DataFrame:
+    """The event windows of the videos without segments."""
     heard = _segments(spark, d).dropna(subset=["video_id", "id", "s", "e"]).select("video_id").distinct()
-    seen = event_sessions(spark, d).join(heard, "video_id", "left_anti").select("video_id", "start_ms", "end_ms", F.lit("events").alias("source"), F.col("events").alias("rows"))
-    return spoken.unionByName(seen)
+    return event_sessions(spark, d).join(heard, "video_id", "left_anti")
 
 
 def _grid(spark: SparkSession, d: str) -> DataFrame:

@@ -25,9 +25,8 @@ MAX_SPEAKERS = 100_000
 #: Weights of the model in nats: an edit of a label; a label that names somebody else; the share of the words'
 #: log-likelihood, and the number of words beyond which a run's words don't weigh more together.
 EDIT_COST, SLIP, WORD_WEIGHT, MOST_WORDS = 4.0, 40.0, 0.25, 40
-#: Words of the video's own language mixed into each profile, moves into each participant's transitions, and the
-#: share of a video's participants (but two at least) that may use a word that tells them apart.
-PRIOR, MOVE_PRIOR, TELLING = 20.0, 2.0, 0.25
+#: Share of the video's own language mixed into each profile, and moves mixed into each participant's transitions.
+MIX, MOVE_PRIOR = 0.015, 2.0
 
 _CANDS = "array<struct<speaker:string,cost:double>>"
 _CANDS_ARROW = pa.list_(pa.struct([("speaker", pa.string()), ("cost", pa.float64())]))
@@ -99,33 +98,26 @@ def spoken_pieces(segments: DataFrame, speakers: DataFrame) -> DataFrame:
     return runs.where("text <> ''").join(here, ["video_id", "run", "bucket"]).select("video_id", "start_ms", "id", "piece", "text", F.col("speaker").alias("speaker_id"))
 
 
-def _evidence(runs: DataFrame, sure: Column, participants: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What the words say: (video_id, run, length, gains) and (video_id, speaker, total).
+def _evidence(runs: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
+    """What the words say: (video_id, bucket, r, speaker, gain) of runs, the speaker NULL for the number of telling
+    words, and (video_id, speaker, total) of the profiles.
 
-    Language profiles are counts of words in runs under a label with one meaning. Words that many of a video's
-    participants use tell nobody apart and are left out. A run's own words don't count for its own label.
+    Language profiles are counts of words in runs under a label with one meaning. Only words that one or two of a
+    video's participants use tell them apart. A run's own words don't count for its own label. All counts are taken
+    in one partitioning by (video, word).
     """
     word = F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")
-    said = runs.where("text <> ''").select("video_id", "run", sure.alias("sure"), word).where("word <> ''").groupBy("video_id", "run", "sure", "word").agg(F.count("*").alias("times"))
-    said = checkpointed(said)
-    profile = said.where("sure IS NOT NULL").groupBy("video_id", F.col("sure").alias("speaker"), "word").agg(F.sum("times").alias("n"))
-    people = participants.groupBy("video_id").agg(F.count("*").alias("people"))
-    uses = profile.groupBy("video_id", "word").agg(F.count("*").alias("users"), F.sum("n").alias("all"))
-    telling = uses.join(people, "video_id").where(F.col("users") <= F.greatest(F.lit(2.0), TELLING * F.col("people"))).select("video_id", "word", "all")
-    volume = telling.groupBy("video_id").agg(F.sum("all").alias("volume"))
-    telling = telling.join(volume, "video_id").select("video_id", "word", (PRIOR * F.col("all") / F.col("volume")).alias("prior"))
+    words = runs.where("text <> ''").select("video_id", F.floor(F.col("run.start_ms") / BUCKET_MS).alias("bucket"), "r", "sure", word).where("word <> ''")
+    words = words.repartition(parts, "video_id", "word")
+    said = words.groupBy("video_id", "word", "bucket", "r", "sure").agg(F.count("*").alias("times"))
+    profile = words.where("sure IS NOT NULL").groupBy("video_id", "word", F.col("sure").alias("speaker")).agg(F.count("*").alias("n"))
+    telling = profile.groupBy("video_id", "word").agg(F.count("*").alias("users"), F.sum("n").alias("all")).where("users <= 2").drop("users")
     profile = profile.join(telling, ["video_id", "word"])
     totals = profile.groupBy("video_id", "speaker").agg(F.sum("n").alias("total"))
     others = F.col("n") - F.when(F.col("speaker") == F.col("sure"), F.col("times")).otherwise(0)
-    gains = (
-        said.join(profile, ["video_id", "word"])
-        .groupBy("video_id", "run", "speaker")
-        .agg(F.sum(F.col("times") * F.log1p(others / F.col("prior"))).alias("gain"))
-        .groupBy("video_id", "run")  # at most one entry per participant
-        .agg(F.collect_list(F.struct("speaker", "gain")).alias("gains"))
-    )
-    lengths = said.join(telling, ["video_id", "word"], "left_semi").groupBy("video_id", "run").agg(F.sum("times").alias("length"))
-    return lengths.join(gains, ["video_id", "run"], "left"), totals
+    each = said.join(profile, ["video_id", "word"]).select("video_id", "bucket", "r", "speaker", (F.col("times") * F.log1p(others / (MIX * F.col("all")))).alias("gain"))
+    counted = said.join(telling, ["video_id", "word"], "left_semi").select("video_id", "bucket", "r", F.lit(None).cast("string").alias("speaker"), F.col("times").cast("double").alias("gain"))
+    return each.unionByName(counted).groupBy("video_id", "bucket", "r", "speaker").agg(F.sum("gain").alias("gain")), totals
 
 
 _RUN = "struct<start_ms:bigint,id:string,piece:int>"
@@ -140,43 +132,37 @@ def _decoded(runs: DataFrame) -> DataFrame:
     product); one summary per bucket is followed along the video; buckets with more than one way are walked
     again between the states found for their ends.
     """
+    parts = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sure = F.when(F.size("cands") == 1, F.col("cands")[0]["speaker"])
-    heads = runs.where("own IS NOT NULL").select("video_id", "bucket", "start_ms", "id", "piece", "run", "cands", sure.alias("sure"))
-    participants = heads.select("video_id", F.explode("cands.speaker").alias("speaker")).distinct()
+    runs = runs.withColumn("sure", sure).withColumn("r", F.xxhash64("run"))
+    heads = runs.where("own IS NOT NULL").select("video_id", "bucket", "start_ms", "id", "piece", "run", "r", "cands", "sure")
     moves = running_max(heads.withColumn("mark", F.when(F.col("sure").isNotNull(), F.struct("run", "sure"))), ["video_id"], "bucket", ["start_ms", "id", "piece"], "mark", "prior")
     moves = moves.where("sure IS NOT NULL AND prior IS NOT NULL").groupBy("video_id", F.col("prior.sure").alias("before"), F.col("sure").alias("after")).agg(F.count("*").alias("n"))
-    lengths, totals = _evidence(runs, sure, participants)
+    gains, totals = _evidence(runs, parts)
 
     # One row per video, of the size of its participants (squared at most), copied to its buckets.
+    participants = heads.select("video_id", F.explode("cands.speaker").alias("speaker")).distinct()
     cast = participants.join(totals, ["video_id", "speaker"], "left").groupBy("video_id").agg(F.sort_array(F.collect_list(F.struct("speaker", F.coalesce("total", F.lit(0)).cast("double").alias("total")))).alias("cast"))
     paths = moves.groupBy("video_id").agg(F.collect_list(F.struct("before", "after", F.col("n").cast("double").alias("n"))).alias("moves"))
     model = checkpointed(cast.join(paths, "video_id", "left"))
-    opening = runs.where("cands IS NULL").select("video_id", "run").distinct().select("video_id", F.lit(-1).cast("bigint").alias("bucket"), "run", F.lit(None).cast(_CANDS).alias("cands"))
-    steps = heads.select("video_id", "bucket", "run", "cands").unionByName(opening).join(lengths, ["video_id", "run"], "left")
-    steps = checkpointed(steps.select("video_id", "bucket", "run", "cands", "length", "gains"))
-    buckets = steps.select("video_id", "bucket").distinct()
-    models = model.join(buckets, "video_id")
-
-    parts = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def grouped(rows: DataFrame):
-        return rows.repartition(parts, "video_id", "bucket").groupBy("video_id", "bucket")
+    opening = runs.where("cands IS NULL").select("video_id", "run", "r").distinct().select("video_id", F.lit(-1).cast("bigint").alias("bucket"), "run", "r", F.lit(None).cast(_CANDS).alias("cands"))
+    steps = heads.select("video_id", "bucket", "run", "r", "cands").unionByName(opening)
+    models = model.join(steps.select("video_id", "bucket").distinct(), "video_id")
+    seen = steps.unionByName(gains, allowMissingColumns=True).unionByName(models, allowMissingColumns=True)
+    seen = checkpointed(seen.repartition(parts, "video_id", "bucket"))
 
-    summed = grouped(steps.unionByName(models, allowMissingColumns=True)).applyInArrow(_sum_up, _STEP)
-    summed = checkpointed(summed)
+    summed = checkpointed(seen.groupBy("video_id", "bucket").applyInArrow(_sum_up, _STEP))
     plain = summed.where("run IS NOT NULL").select("video_id", "run", "speaker")
     ends = summed.where("run IS NULL").select("video_id", "bucket", "firsts", "lasts", "scores")
-    several = ends.where("size(scores) > 1")
-    open_videos = several.select("video_id").distinct()
+    several = ends.where("size(scores) > 1").select("video_id", "bucket")
     chosen = (
         ends.unionByName(model.withColumn("bucket", F.lit(None).cast("bigint")), allowMissingColumns=True)
-        .join(open_videos, "video_id", "left_semi")
+        .join(several.select("video_id").distinct(), "video_id", "left_semi")
         .groupBy("video_id")
         .applyInArrow(_choose_ends, _ENDS)
     )
-    again = steps.unionByName(models, allowMissingColumns=True).join(several.select("video_id", "bucket"), ["video_id", "bucket"], "left_semi")
-    again = again.unionByName(chosen, allowMissingColumns=True).join(several.select("video_id", "bucket"), ["video_id", "bucket"], "left_semi")
-    walked = grouped(again).applyInArrow(_walk_between, f"video_id string, run {_RUN}, speaker string")
+    again = seen.join(several, ["video_id", "bucket"], "left_semi").unionByName(chosen, allowMissingColumns=True)
+    walked = again.repartition(parts, "video_id", "bucket").groupBy("video_id", "bucket").applyInArrow(_walk_between, f"video_id string, run {_RUN}, speaker string")
     return plain.unionByName(walked)
 
 
@@ -195,9 +181,10 @@ class Model:
         #: A state that another beats by more than twice what transitions can differ is on no best path.
         low, high = min(self.move.min(), self.start.min()), max(self.move.max(), self.start.max())
         self.most = 2 * (high - low) + 1e-9
-        self.unseen = np.log(PRIOR / (PRIOR + np.array([c["total"] for c in cast])))
+        totals = np.array([c["total"] for c in cast])
+        self.unseen = np.log(MIX * max(totals.sum(), 1) / (MIX * max(totals.sum(), 1) + totals))
 
-    def states(self, cands: list[dict] | None, length: int | None, gains: list[dict] | None) -> tuple[np.ndarray, np.ndarray]:
+    def states(self, cands: list[dict] | None, length: float, gains: list[tuple[str, float]]) -> tuple[np.ndarray, np.ndarray]:
         """The participants that may speak a run, and their emissions: the label's edits, or the price of a label
         that names somebody else, and the words' likelihood against the video's own language."""
         e = np.zeros(len(self.names))
@@ -207,8 +194,8 @@ class Model:
                 e[self.at[c["speaker"]]] = -EDIT_COST * c["cost"]
         if length:
             words = length * self.unseen
-            for g in gains or ():
-                words[self.at[g["speaker"]]] += g["gain"]
+            for speaker, gain in gains:
+                words[self.at[speaker]] += gain
             e += WORD_WEIGHT * min(1.0, MOST_WORDS / length) * words
         keep = np.nonzero(e >= e.max() - self.most)[0]
         return keep, e[keep]
@@ -241,7 +228,12 @@ def _opened(table: pa.Table) -> tuple[Model, list[dict], list[tuple[np.ndarray,
     rows = table.to_pylist()
     model = next(Model(r["cast"], r["moves"]) for r in rows if r["cast"] is not None)
     runs = sorted((r for r in rows if r["run"] is not None), key=lambda r: (r["run"]["start_ms"], r["run"]["id"], r["run"]["piece"]))
-    return model, runs, [model.states(r["cands"], r["length"], r["gains"]) for r in runs]
+    lengths = {r["r"]: r["gain"] for r in rows if r["gain"] is not None and r["speaker"] is None}
+    gains: dict[int, list[tuple[str, float]]] = {}
+    for r in rows:
+        if r["gain"] is not None and r["speaker"] is not None:
+            gains.setdefault(r["r"], []).append((r["speaker"], r["gain"]))
+    return model, runs, [model.states(r["cands"], lengths.get(r["r"], 0.0), gains.get(r["r"], [])) for r in runs]
 
 
 _RUN_ARROW = pa.struct([("start_ms", pa.int64()), ("id", pa.string()), ("piece", pa.int32())])

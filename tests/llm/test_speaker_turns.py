@@ -96,7 +96,7 @@ def test_an_ambiguous_label_is_decided_by_words_or_by_transitions(spark):
 
 def test_a_swapped_label_is_overruled_by_many_words_only(spark):
     who = ["S1", "S2", "S2"]
-    said = [f"{who[k % 3]}: " + f"{(FLOUR, PROXY, PROXY)[k % 3]} " * 9 for k in range(120)]
+    said = [f"{who[k % 3]}: " + f"{(FLOUR, PROXY, PROXY)[k % 3]} " * (18, 9, 9)[k % 3] for k in range(120)]
     end = ["S1: " + FLOUR, "S1: " + f"{PROXY} " * 12, "S2: yes", "S1: " + f"{PROXY}"]
     got = spoken(spark, talk(*said, *end))
     assert got["121"] == "S2" and got["123"] == "S1" and got["120"] == "S1" and got["000"] == "S1"

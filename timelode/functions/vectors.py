@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timelode.functions.text import TOKEN, tokens
+from timelode.functions.text import TOKEN
 
 DIMENSIONS = 256
 
@@ -48,16 +48,11 @@ def embed_sha(df: DataFrame, row_id: str, text: str, dimensions: int = DIMENSION
     """row_id, bucket, weight: the same idea with SHA-256 in built-in functions, one row per bucket that
     isn't empty, before scaling. Texts without tokens give no row. The tokens of a text are combined before
     the one shuffle."""
-    digest = F.transform(tokens(F.col(text)), lambda t: F.sha2(t, 256))
-    signed = F.transform(
-        digest,
-        lambda x: F.struct(
-            F.pmod(F.conv(F.substring(x, 1, 8), 16, 10).cast("bigint"), F.lit(dimensions)).alias("bucket"),
-            F.when(F.pmod(F.conv(F.substring(x, 9, 2), 16, 10).cast("bigint"), F.lit(2)) == 1, F.lit(1)).otherwise(F.lit(-1)).cast("bigint").alias("sign"),
-        ),
-    )
-    each = df.select(F.col(row_id), F.explode(signed).alias("x"))
-    return each.groupBy(row_id, F.col("x.bucket").alias("bucket")).agg(F.sum("x.sign").alias("weight")).where("weight <> 0")
+    words = df.select(F.col(row_id), F.explode(F.regexp_extract_all(F.col(text), F.lit(TOKEN), F.lit(0))).alias("token"))
+    words = words.select(row_id, F.sha2(F.lower("token"), 256).alias("digest"))
+    bucket = F.pmod(F.conv(F.substring("digest", 1, 8), 16, 10).cast("bigint"), F.lit(dimensions))
+    sign = F.when(F.substring("digest", 10, 1).isin(*"13579bdf"), F.lit(1)).otherwise(F.lit(-1)).cast("bigint")
+    return words.select(row_id, bucket.alias("bucket"), sign.alias("sign")).groupBy(row_id, "bucket").agg(F.sum("sign").alias("weight")).where("weight <> 0")
 
 
 def embed_sha_dense(text: Column, dimensions: int = DIMENSIONS) -> Column:

@@ -13,6 +13,7 @@ from timelode.operators.retrieval import cosine, search
 from timelode.plans import timeline as tl
 from timelode.plans.documents import sections
 from timelode.plans.enrich import RECORDS, record_texts, sql_truncated
+from timelode.session import checkpointed
 from timelode.sources.tables import records, table
 
 SECTION_K, CHAT_K, HISTORY = 12, 8, 8
@@ -52,15 +53,15 @@ def _documented(spark: SparkSession, d: str) -> DataFrame:
 def _answer_sources(spark: SparkSession, d: str) -> DataFrame:
     """query_id, place, index, record_id, score, text of the sources of every question."""
     questions = _questions(spark, d)
-    asked = questions.withColumn("vec", embed_sha_dense(F.col("question")))
+    asked = checkpointed(questions.withColumn("vec", embed_sha_dense(F.col("question"))))
     documented = _documented(spark, d).withColumn("dedup_key", F.col("row_id"))
     recorded = record_texts(spark, d).select(F.col("record_id").alias("row_id"), F.col("chunk_id").alias("dedup_key"), F.col("video_id").alias("scope"), "text")
     # Without any documentation, questions to it go to the records.
     modes = {"docs": ["docs", "hybrid"], "raw": ["raw", "hybrid", *(["docs"] if documented.isEmpty() else [])]}
     found = []
     for name, index in (("docs", documented), ("raw", recorded)):
-        filled = index.where("trim(text) <> ''")
-        hits = search(asked.where(F.col("mode").isin(modes[name])), filled.withColumn("vec", embed_sha_dense(F.col("text"))), k=CHAT_K, once_per_key=False, scope="scope")
+        filled = checkpointed(index.where("trim(text) <> ''").withColumn("vec", embed_sha_dense(F.col("text"))))
+        hits = search(asked.where(F.col("mode").isin(modes[name])), filled, k=CHAT_K, once_per_key=False, scope="scope")
         texts = filled.select("row_id", "text")
         found.append(hits.drop("place").join(texts, "row_id").withColumn("index", F.lit(name)))
     order = [F.desc("score"), F.col("index"), F.col("row_id")]

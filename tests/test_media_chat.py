@@ -1,9 +1,11 @@
+import hashlib
+
 from pyspark.sql import functions as F
 
 from timelode.functions.markdown import to_html, wrapped
 from timelode.functions.media import frame_times, probe_fields, screen_reading, screen_text, speech_confidence
 from timelode.operators.chat import FROM_SOURCES, NO_SOURCES, answers, last_turns, listed_sessions, numbered, save_sessions, snapshots
-from timelode.plans import pipeline
+from timelode.plans import code, pipeline
 
 
 def one(spark, value, kind, expression):
@@ -74,8 +76,22 @@ def test_pipeline_writes_and_skips_and_reports(spark, tmp_path):
     assert last["records"] == ("failed", "no space") and last["index"] == ("blocked", "records") and last["outline"] == ("skipped", None)
 
 
-def test_pages_and_validity(spark):
-    pages = pipeline.document_pages(spark, "/root/testdata/sf0.001").collect()
-    assert pages and any("<h2>" in p["html"] for p in pages)
-    rows = pipeline.code_validity(spark, "/root/testdata/sf0.001").collect()
-    assert {r["language"] for r in rows} <= {"json", "python"}
+def test_pages_validity_symbols_and_index(spark, tmp_path):
+    blocks = [("p1", "v", 1.0, "Python", "import os\n\nclass A:\n    def f(self):\n        pass\n\n\nasync def g():\n    return 1"), ("p2", "v", 2.0, "python", "def f("), ("j1", "v", 3.0, "json", '{"a": 1}'), ("j2", "v", 3.0, "json", "{"), ("x", "v", None, None, None)]
+    spark.createDataFrame(blocks, "id string, video_id string, timestamp_seconds double, language string, code string").write.parquet(f"{tmp_path}/code_blocks.parquet")
+    docs = [(1, "# T\n\n- a\n", "section_exports"), (2, "x", "forum_mirrors"), (3, None, "section_exports")]
+    spark.createDataFrame(docs, "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    chunks = [("c1", "v", 0.0, 1.0, "Hallo", None, "hallo du", "")]
+    spark.createDataFrame(chunks, "id string, video_id string, start_seconds double, end_seconds double, topic string, summary string, transcript string, ocr_text string").write.parquet(f"{tmp_path}/chunks.parquet")
+    d = str(tmp_path)
+    assert {(r["doc_id"], r["html"]) for r in pipeline.document_pages(spark, d).collect()} == {(1, "<h1>T</h1>\n<ul>\n<li>a</li>\n</ul>"), (3, None)}
+    assert {(r["id"], r["valid"]) for r in pipeline.code_validity(spark, d).collect()} == {("p1", True), ("p2", False), ("j1", True), ("j2", False)}
+    assert {tuple(r) for r in code.python_symbols(spark, d).collect()} == {("p1", "A", 3, 5), ("p1", "g", 8, 9)}
+    (row,) = pipeline.chunk_index(spark, d).collect()
+    places = {}
+    for word, times in (("hallo", 2), ("du", 1)):
+        h = hashlib.blake2b(word.encode(), digest_size=8).digest()
+        at = int.from_bytes(h[:4], "big") % 256
+        places[at] = places.get(at, 0) + (times if h[4] & 1 else -times)
+    norm = sum(x * x for x in places.values()) ** 0.5
+    assert row["record_id"] == "c1_combined" and {i: x for i, x in enumerate(row["vector"]) if x} == {i: round(x / norm, 8) for i, x in places.items()}

@@ -45,6 +45,8 @@ def test_kinds(spark):
         "<p>hello</p>": ("source_code", "html"),
         "def f():\n    return 1": ("source_code", "python"),
         "const x = 1;": ("source_code", "javascript"),
+        "x=>y": ("source_code", "javascript"),
+        "C:\\\\work> dir /s": ("terminal_command", "bash"),
         "name: a\nport: 1": ("configuration", "yaml"),
         "Traceback: it broke badly when it was run again": ("error_message", "other"),
         "src/app/main.py": ("file_path", "other"),

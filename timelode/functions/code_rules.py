@@ -1,6 +1,6 @@
 """Rules on code and screen text as column expressions: normal form, prompts, kind and language.
 
-The lists and patterns are fixed values; patterns are written so that Java and RE2 read them alike.
+The lists and patterns are fixed values. Flags stand inside the patterns, as Java and RE2 take them there.
 """
 
 from __future__ import annotations
@@ -13,18 +13,19 @@ SHELL_COMMANDS = (
     "kubectl", "make", "mkdir", "mv", "node", "npm", "npx", "pip", "pipenv", "pnpm", "poetry", "pytest", "python",
     "python3", "rm", "uv", "wget", "winget", "yarn",
 )
-PROMPT = r"^[ \t]*([$#>][ \t]+|PS[ \t]+[^>\n]+>[ \t]+|[A-Za-z]:\\[^>\n]*>[ \t]*)"
-HTML = r"<\s*/?\s*[a-zA-Z][\w:-]*(\s+[^>]*)?>"
+PROMPT = r"^\s*(?:[$#>]\s+|PS\s+[^>]+>\s+|[A-Za-z]:\\[^>]*>\s*)"
+HTML = r"<\s*/?\s*[a-zA-Z][\w:-]*(?:\s+[^>]*)?>"
 DOCKER = r"(?m)^\s*(FROM|RUN|COPY|ADD|CMD|ENTRYPOINT|WORKDIR|ENV|EXPOSE)\b"
 CSS = r"[.#]?[A-Za-z][\w-]*\s*\{[^{}]*:[^{};]+;?[^{}]*\}"
 SQL = r"(?i)\b(SELECT|INSERT|UPDATE|DELETE|CREATE\s+TABLE|ALTER\s+TABLE|FROM|WHERE)\b"
 PYTHON = r"(?m)^\s*(def|class|from|import|if __name__|async def)\b"
-SCRIPT = r"\b(const|let|var|function|import|export|require|console\.log|interface|type)\b|=>"
+SCRIPT = r"\b(const|let|var|function|import|export|require|console\.log|=>|interface|type)\b"
 SCRIPT_END = r"(?m)[{};][ \t]*$"
 TYPED = r"\b(interface|type)\s+\w+|:\s*\w+\s*[=;,)]"
 KEY_VALUE = r"^\s*[-\w.\"']+\s*:\s*.+$"
 ERROR = r"(?i)\b(traceback|exception|error|failed|failure|not found|stack trace|module not found|cannot|errno)\b"
-FILE_PATH = r"(?i)^(([A-Za-z]:\\|/|\./|\../)[^\s:]+|[\w.-]+[/\\][\w./\\-]+|[\w.-]+\.(py|js|jsx|ts|tsx|json|ya?ml|toml|md|html|css|sql|env|ini|cfg|dockerfile))$"
+#: Between ^ and $, as the whole line must match.
+FILE_PATH = r"(?i)^(?:(?:[A-Za-z]:\\|/|\./|\../)[^\s:]+|[\w.-]+(?:/|\\)[\w./\\-]+|[\w.-]+\.(?:py|js|jsx|ts|tsx|json|ya?ml|toml|md|html|css|sql|env|ini|cfg|dockerfile))$"
 MIN_CONFIDENCE = 0.80
 
 _EDGE = r"^[ \t\n\r\f\x0b]+|[ \t\n\r\f\x0b]+$"

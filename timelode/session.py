@@ -24,6 +24,7 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "12
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")  # what nobody refers to is removed
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -103,21 +103,24 @@ def _evidence(runs: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
     words, and (video_id, speaker, total) of the profiles.
 
     Language profiles are counts of words in runs under a label with one meaning. Only words that one or two of a
-    video's participants use tell them apart. A run's own words don't count for its own label. All counts are taken
-    in one partitioning by (video, word).
+    video's participants use tell them apart. A run's own words don't count for its own label.
     """
     word = F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")
     words = runs.where("text <> ''").select("video_id", F.floor(F.col("run.start_ms") / BUCKET_MS).alias("bucket"), "r", "sure", word).where("word <> ''")
-    words = words.repartition(parts, "video_id", "word")
-    said = words.groupBy("video_id", "word", "bucket", "r", "sure").agg(F.count("*").alias("times"))
     profile = words.where("sure IS NOT NULL").groupBy("video_id", "word", F.col("sure").alias("speaker")).agg(F.count("*").alias("n"))
-    telling = profile.groupBy("video_id", "word").agg(F.count("*").alias("users"), F.sum("n").alias("all")).where("users <= 2").drop("users")
-    profile = profile.join(telling, ["video_id", "word"])
-    totals = profile.groupBy("video_id", "speaker").agg(F.sum("n").alias("total"))
-    others = F.col("n") - F.when(F.col("speaker") == F.col("sure"), F.col("times")).otherwise(0)
-    each = said.join(profile, ["video_id", "word"]).select("video_id", "bucket", "r", "speaker", (F.col("times") * F.log1p(others / (MIX * F.col("all")))).alias("gain"))
-    counted = said.join(telling, ["video_id", "word"], "left_semi").select("video_id", "bucket", "r", F.lit(None).cast("string").alias("speaker"), F.col("times").cast("double").alias("gain"))
-    return each.unionByName(counted).groupBy("video_id", "bucket", "r", "speaker").agg(F.sum("gain").alias("gain")), totals
+    telling = profile.groupBy("video_id", "word").agg(F.collect_list(F.struct("speaker", "n")).alias("users"), F.sum("n").alias("all")).where("size(users) <= 2")
+    telling = checkpointed(telling)
+    totals = telling.select("video_id", F.explode("users").alias("u")).groupBy("video_id", F.col("u.speaker").alias("speaker")).agg(F.sum("u.n").alias("total"))
+    told = words.repartition(parts, "video_id", "word").join(telling.repartition(parts, "video_id", "word"), ["video_id", "word"])
+    told = told.groupBy("video_id", "word", "bucket", "r", "sure").agg(F.count("*").alias("times"), F.first("users").alias("users"), F.first("all").alias("all"))
+
+    def gain(u: Column) -> Column:
+        others = u["n"] - F.when(u["speaker"].eqNullSafe(F.col("sure")), F.col("times")).otherwise(0)
+        return F.struct(u["speaker"].alias("speaker"), (F.col("times") * F.log1p(others / (MIX * F.col("all")))).alias("gain"))
+
+    counted = F.array(F.struct(F.lit(None).cast("string").alias("speaker"), F.col("times").cast("double").alias("gain")))
+    each = told.select("video_id", "bucket", "r", F.concat(F.transform("users", gain), counted).alias("gains")).select("video_id", "bucket", "r", F.explode("gains").alias("g"))
+    return each.groupBy("video_id", "bucket", "r", F.col("g.speaker").alias("speaker")).agg(F.sum("g.gain").alias("gain")), totals
 
 
 _RUN = "struct<start_ms:bigint,id:string,piece:int>"

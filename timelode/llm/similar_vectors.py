@@ -39,7 +39,6 @@ class Search:
     block: int = 2048
     fit_sample: int = 32_768
     max_depth: int = 13
-    code_slack: float = 0.01  # unused since each code has its own error
     candidates: int = 12
 
 

@@ -34,6 +34,11 @@ def test_grammar(text, expected):
     assert [(k, text[s:e]) for k, s, e in Rules(NAMES).find(text)] == expected
 
 
+def test_short_names_of_the_lexicon_count():
+    rules = Rules([*NAMES, ("Anna", "given"), ("Lee", "family")])
+    assert [(k, s, e) for k, s, e in rules.find("as Anna Lee showed; anna and lee are words here")] == [("person", 3, 11)]
+
+
 def test_gradients_are_those_of_the_loss():
     rng = np.random.default_rng(0)
     p = {k: v.astype(np.float64) for k, v in tagger.initial(7, embed=4, hidden=3).items()}
